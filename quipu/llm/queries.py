@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quipu.llm.encode import decode, encode
 from quipu.llm.leaks import leaks
+from quipu.llm.neighbours import most_similar
 from quipu.llm.together import pairs_of_scope
 from quipu.llm.topn import top_n
 from quipu.sources import key, table
@@ -17,6 +18,15 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = []
+    for name, owner in (("nodos", "concepto"), ("tokens", "token")):
+        rows = table(spark, d, name).select(F.col(owner).alias("_k"), F.col("vector").alias("_v"))
+        pairs = most_similar(rows, 10, 100, 0.90)
+        parts.append(pairs.select(F.lit(name).alias("tabla"), F.least("_k", "_b").alias("clave_a"), F.greatest("_k", "_b").alias("clave_b")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "sinapsis")
     good = edges.where("peso >= 0 and peso <= 1 and not isnan(peso)").select(key("origen").alias("origen"), key("destino").alias("destino"), "peso")
@@ -72,6 +82,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
