@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quipu.llm.encode import decode, encode
 from quipu.llm.leaks import leaks
 from quipu.llm.neighbours import most_similar
+from quipu.llm.spans import shared_spans
 from quipu.llm.together import pairs_of_scope
 from quipu.llm.topn import top_n
 from quipu.sources import key, table
@@ -81,6 +82,20 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_coverage(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documentos"), F.max("mas_larga").alias("mas_larga"), F.round(F.max("cobertura"), 6).alias("cobertura"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    return shared_spans(documents, 300).withColumnRenamed("_id", "doc_id")
+
+
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared: stretches, characters, and their part of the text."""
+    spans = p8_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tramos"), F.sum(F.col("fin") - F.col("inicio")).alias("compartidos"))
+    sizes = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("largo"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    part = F.when(F.col("largo") > 0, F.coalesce(F.col("compartidos"), F.lit(0)) / F.col("largo")).otherwise(0.0)
+    return sizes.join(spans, "doc_id", "left").select("doc_id", "largo", zero("tramos"), zero("compartidos"), F.round(part, 6).alias("parte"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -91,6 +106,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_share": p8_share,
 }
 
 _P4 = r"""
