@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.plans import core_problems
+from quipu.plans import core_problems, relational
 
-QUERIES = {**core_problems.QUERIES}
-SQL = {**core_problems.SQL}
+_PLANS = [core_problems, relational]
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
