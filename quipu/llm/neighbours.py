@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.llm.graph_index import ProximityGraph
+from quipu.operators.cut import cut
 from quipu.operators.skew import heavy_keys, join_with_heavy
 
 #: Vectors per cell aimed at; most cells; cells searched per query; most vectors of a shard; most queries per search task.
@@ -124,8 +125,8 @@ def most_similar(rows: DataFrame, k: int, size: int, least: float = -1.0) -> Dat
     PROBES nearest cells. Beyond CELL * MOST_CELLS nodes, cells have more shards.
     """
     spark = rows.sparkSession
-    units = usable(rows, size).mapInArrow(_units(size), "_k string, _c string, _u binary")
-    nodes = units.groupBy("_c").agg(F.min_by("_u", "_k").alias("_u"))
+    units = cut(usable(rows, size).mapInArrow(_units(size), "_k string, _c string, _u binary"))
+    nodes = cut(units.groupBy("_c").agg(F.min_by("_u", "_k").alias("_u")))
     total = nodes.count()
     if not total:
         return spark.createDataFrame([], "_k string, _b string, _s double")
@@ -140,7 +141,7 @@ def most_similar(rows: DataFrame, k: int, size: int, least: float = -1.0) -> Dat
     placed = nodes.mapInArrow(_route(pivots, plan), "_cell string, _c string, _u binary, _own int")
     found = placed.groupBy("_cell").applyInPandas(_search(k, least), "_c string, _d string, _s double")
     best = Window.partitionBy("_c").orderBy(F.desc("_s"), F.asc("_d"))
-    links = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("_c", "_d", "_s")
+    links = cut(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("_c", "_d", "_s"))
 
     # of a class of copies, k + 1 keys are enough for anyone; rank limits are applied before the shuffle
     first = units.select("_c", "_k").withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_k"))).where(F.col("_r") <= k + 1).select("_c", "_k")
@@ -149,6 +150,6 @@ def most_similar(rows: DataFrame, k: int, size: int, least: float = -1.0) -> Dat
     top = near.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(F.desc("_s"), F.asc("_b")))).where(F.col("_r") <= k + 1)
     offers = top.groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_r", "_b", "_s"))).alias("_o"))
     keyed = units.select("_k", "_c")
-    offered = join_with_heavy(keyed, offers, "_c", heavy_keys(keyed, "_c", keyed.count()))
+    offered = join_with_heavy(keyed, cut(offers), "_c", heavy_keys(keyed, "_c", keyed.count()))
     mine = F.slice(F.filter("_o", lambda o: o["_b"] != F.col("_k")), 1, k)
     return offered.select("_k", F.inline(mine)).select("_k", "_b", "_s").where(F.col("_s") >= least)
