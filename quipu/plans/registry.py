@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.plans import core_problems, relational
+from quipu.plans import core_problems, relational, search
 
-_PLANS = [core_problems, relational]
+_PLANS = [core_problems, relational, search]
 QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p3_report"](spark, d)
+    return QUERIES["se6_hybrid_search"](spark, d)
