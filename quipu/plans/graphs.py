@@ -215,8 +215,8 @@ def _(v: Views) -> DataFrame:
 
 @C.add("gr1_link_by_tokens")
 def _(v: Views) -> DataFrame:
-    """Pass 1: contents with a token Jaccard of 0.5 or more."""
-    return link_by_tokens(v.active, 0.5).withColumn("peso", F.round("peso", 6))
+    """Pass 1: contents with a token Jaccard of 0.4 or more."""
+    return link_by_tokens(v.active, 0.4).withColumn("peso", F.round("peso", 6))
 
 
 @C.add(

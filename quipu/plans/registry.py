@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.plans import core_problems, graphs, lifecycle, relational, search
+from quipu.plans import core_problems, graphs, lifecycle, relational, search, vectors
 
-_PLANS = [core_problems, relational, search, graphs, lifecycle]
+_PLANS = [core_problems, relational, search, graphs, lifecycle, vectors]
 QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}
 
