@@ -220,10 +220,14 @@ def _(v: Views) -> DataFrame:
     return p.join(F.broadcast(n), F.col("categoria").eqNullSafe(F.col("c"))).where("veces * 2 > n").select("categoria", "bit", "veces")
 
 
-@C.add("se10_hamming_search", "WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS s FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] <> z[2])::INT)) AS INT) AS distancia FROM b a JOIN b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] <> z[2])::INT)) <= 7")
+@C.add(
+    "se10_hamming_search",
+    "WITH " + _VEC + ", b AS (SELECT k, list_transform(v[1:64], lambda x: (x > 0)::INT) AS s FROM vec), p AS (SELECT a.k AS a, b.k AS b, list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] <> z[2])::INT)) AS d FROM b a JOIN b ON a.k < b.k) SELECT a, b, CAST(d AS INT) AS distancia FROM p WHERE d <= 7",
+)
 def _(v: Views) -> DataFrame:
-    word = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x)")
-    return D.near_by_hamming(v.table("embeddings").select(F.col("vec_id").alias("k"), word.alias("word")), 7)
+    """Vectors whose signs differ in seven of the first 64 places at most."""
+    word = F.expr("aggregate(transform(slice(vector, 1, 64), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x)")
+    return D.near_by_hamming(usable(v.table("nodos"), "concepto").select("k", word.alias("word")), 7)
 
 
 @C.add(
