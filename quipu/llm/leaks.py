@@ -176,7 +176,7 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = LEAST_WORDS) -> Da
     seeds = seeds.select(F.col("_id").alias("_item"), "_h", F.col("_p").alias("_q"), F.col("_w").alias("_v"))
     found = documents.where("_id is not null and _text is not null").select("_id", "_text").mapInArrow(_windows_of(size, sieve), "_id bigint, _h bigint, _p int, _w string")
     pairs = found.join(seeds, "_h").where("_w = _v").select("_id", "_item", "_p", "_q")
-    tiled = pairs.groupBy("_id", "_item").applyInPandas(_cover(size), "_id bigint, _item bigint, baldosas int, mas_larga int, palabras int")
+    tiled = spread(pairs, "_id", "_item").groupBy("_id", "_item").applyInPandas(_cover(size), "_id bigint, _item bigint, baldosas int, mas_larga int, palabras int")
     lengths = asked.mapInArrow(_lengths, "_item bigint, largo int").groupBy("_item").agg(F.max("largo").alias("largo"))
     return tiled.join(lengths, "_item").withColumn("cobertura", F.col("palabras") / F.col("largo"))
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from quipu.llm.fm_index import FMIndex, united
 from quipu.operators.cut import cut
-from quipu.operators.skew import heavy_keys, join_with_heavy
+from quipu.operators.skew import heavy_keys, join_with_heavy, spread
 
 #: Characters of a shard's index aimed at; of a group that still may go to one index; anchors that may share a label.
-SHARD_CHARS, MOST_CHARS, LABEL_ANCHORS = 1_000_000, 4_000_000, 10_000
+SHARD_CHARS, MOST_CHARS, LABEL_ANCHORS = 400_000, 4_000_000, 10_000
 #: Characters hashed at a time in a task.
 STRETCH = 1 << 17
 
@@ -124,7 +124,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_shard(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = list(batches)  # a partition is a shard
+        if any(len(b) for b in every):
+            yield found(pd.concat(every, ignore_index=True))
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
         index = FMIndex(pdf["_t"].tolist(), pdf["_lo"].to_numpy(), (pdf["_lo"] != pdf["_hi"]).to_numpy(), least)
         text, begin = index.shared_windows(least)
         order = np.argsort(text, kind="stable")
@@ -172,7 +177,7 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
        document only are dropped, which leaves the text around shared anchors.
     2. Anchors that share runs of text get one label; a run goes once to each label it has. Copies of a
        piece become one text with the least and greatest document that has it, before anything is gathered.
-    3. Labels are packed into shards of about SHARD_CHARS characters. Each shard builds an FM-index
+    3. Labels are hashed into shards of about SHARD_CHARS characters, a partition each, which builds an FM-index
        of its texts, and the texts are streamed against it backwards.
     A label of more than LABEL_ANCHORS anchors is split by anchor, with the least text around each.
     If one anchor alone has more than MOST_CHARS of different text around it, its windows are
@@ -202,8 +207,8 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
         return spark.createDataFrame([], "_id bigint, inicio bigint, fin bigint")
     big = sizes.where(F.col("_n") > MOST_CHARS).select("_l")
     shards = max(1, -(-total // SHARD_CHARS))
-    normal = texts.join(big, "_l", "left_anti").withColumn("_shard", F.pmod(F.xxhash64("_l"), F.lit(shards)))
-    covered = normal.groupBy("_shard").applyInPandas(_in_shard(least), "_l bigint, _c string, _x bigint, _y bigint")
+    normal = spread(texts.join(big, "_l", "left_anti"), "_l", parts=shards)
+    covered = normal.mapInPandas(_in_shard(least), "_l bigint, _c string, _x bigint, _y bigint")
 
     windows = texts.join(big, "_l", "left_semi").select("_l", "_c", "_t", "_lo", "_hi").mapInArrow(_window_numbers(least), "_l bigint, _c string, _w1 bigint, _w2 bigint, _x bigint, _lo bigint, _hi bigint")
     twice = windows.groupBy("_l", "_w1", "_w2").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo < _hi").select("_l", "_w1", "_w2")
