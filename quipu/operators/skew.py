@@ -25,6 +25,15 @@ def heavy_keys(rows: DataFrame, column: str, total: int, parts: int = HEAVY_PART
     )
 
 
+def spread(rows: DataFrame, *columns: str, parts: int | None = None) -> DataFrame:
+    """rows hashed by the columns into a fixed number of partitions (spark.sql.shuffle.partitions).
+
+    For groups whose work is large for their bytes: adaptive execution would merge them into few tasks.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *columns)
+
+
 def join_with_heavy(rows: DataFrame, lookup: DataFrame, column: str, heavy: DataFrame) -> DataFrame:
     """rows ⋈ lookup on `column`, where rows may be skewed and lookup has one row per key.
 
