@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.skew import spread
 
 #: Consecutive words that make a leak.
 LEAST_WORDS = 12

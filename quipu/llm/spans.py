@@ -210,7 +210,7 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     normal = spread(texts.join(big, "_l", "left_anti"), "_l", parts=shards)
     covered = normal.mapInPandas(_in_shard(least), "_l bigint, _c string, _x bigint, _y bigint")
 
-    windows = texts.join(big, "_l", "left_semi").select("_l", "_c", "_t", "_lo", "_hi").mapInArrow(_window_numbers(least), "_l bigint, _c string, _w1 bigint, _w2 bigint, _x bigint, _lo bigint, _hi bigint")
+    windows = spread(texts.join(big, "_l", "left_semi").select("_l", "_c", "_t", "_lo", "_hi"), "_l", "_c").mapInArrow(_window_numbers(least), "_l bigint, _c string, _w1 bigint, _w2 bigint, _x bigint, _lo bigint, _hi bigint")
     twice = windows.groupBy("_l", "_w1", "_w2").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo < _hi").select("_l", "_w1", "_w2")
     counted = windows.join(twice, ["_l", "_w1", "_w2"]).select("_l", "_c", "_x", (F.col("_x") + least).alias("_y"))
 

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 #: An item is frequent if it is in more than one in DENSE of all item occurrences, so there
 #: are fewer than DENSE frequent items whatever the data.
 DENSE = 1024
