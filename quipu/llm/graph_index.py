@@ -96,6 +96,7 @@ class ProximityGraph:
             col = np.arange(back.shape[1])
             ok = col < c[:, None]
             back[ok] = a[(s[:, None] + col)[ok]]
+            back[(back[:, :, None] == self.out[e][:, None, :]).any(axis=2)] = -1  # linked already
             cand = np.concatenate([self.out[e], back], axis=1)
             used = (cand >= 0).sum(axis=1)
             full = used > room
