@@ -27,10 +27,11 @@ def conformal_threshold(scores: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def auc(rows: DataFrame) -> DataFrame:
-    """rows: score, positivo. One row: auc by ranks with ties halved, over counts per score."""
+    """rows: score, positivo. One row: auc by ranks with ties halved, over counts per score; null if one
+    of the two kinds is missing."""
     per = rows.groupBy("score").agg(F.count_if("positivo").alias("p"), F.count_if(~F.col("positivo")).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg((F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return per.withColumn("below", below).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def _binned(rows: DataFrame) -> np.ndarray:

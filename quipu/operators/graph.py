@@ -59,7 +59,7 @@ def neighbour_jaccard(und: DataFrame) -> DataFrame:
 
 def adamic_adar(und: DataFrame) -> DataFrame:
     """Sum over common neighbours c of 1 / ln(degree of c), for linked pairs a < b."""
-    n = neighbour_counts(und).select(F.col("a").alias("c"), (1 / F.log("n")).alias("w"))
+    n = neighbour_counts(und).select(F.col("a").alias("c"), F.when(F.col("n") > 1, 1 / F.log("n")).alias("w"))
     return triangles(und).join(n, "c").groupBy("a", "b").agg(F.sum("w").alias("adamic_adar"))
 
 

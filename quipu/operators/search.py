@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,14 @@ from pyspark.sql import functions as F
 def inverted_index(rows: DataFrame, key: str, fields: dict[str, tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
     """fields: tokens and weight of each. Out: postings (key, term, tf, the weighted count) and
     lengths (key, dl, the tokens of all fields)."""
-    parts = [rows.select(key, F.explode(tokens).alias("term"), F.lit(weight).alias("w")) for tokens, weight in fields.values()]
-    postings = reduce(DataFrame.unionByName, parts).groupBy(key, "term").agg(F.sum("w").alias("tf"))
-    size = sum((F.size(tokens) for tokens, _ in fields.values()), F.lit(0))
-    return postings, rows.select(key, size.alias("dl"))
+    marked = [F.transform(tokens, _weigh(weight)) for tokens, weight in fields.values()]
+    every = rows.select(key, F.concat(*marked).alias("t"))
+    postings = every.select(key, F.explode("t").alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").alias("tf"))
+    return postings, every.select(key, F.size("t").alias("dl"))
+
+
+def _weigh(weight: float):
+    return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, most_common: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -135,7 +135,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add("wn11_max_normalised", "WITH " + _TOP + " SELECT consulta, concepto, round(bm25 / max(bm25) OVER (PARTITION BY consulta), 6) AS norma FROM top", "nodes")
 def _(v: Views) -> DataFrame:
-    return top(v).select("consulta", "concepto", F.round(F.col("bm25") / F.max("bm25").over(_w()), 6).alias("norma"))
+    return top(v).select("consulta", "concepto", F.round(T.ratio(F.col("bm25"), F.max("bm25").over(_w())), 6).alias("norma"))
 
 
 _RERANK = "WITH " + _TOP + f""", j AS (SELECT consulta, concepto, rango, round(bm25 / max(bm25) OVER (PARTITION BY consulta), 6) AS s,
@@ -150,7 +150,7 @@ def _(v: Views) -> DataFrame:
     near = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("x"))
     held = v.active.select("concepto", F.array_distinct(T.words("contenido", 3)).alias("y"))
     j = top(v).join(F.broadcast(near), "consulta").join(held, "concepto")
-    m = j.select("consulta", "concepto", "rango", F.round(F.col("bm25") / F.max("bm25").over(_w()), 6).alias("s"), F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jac")).withColumn("mj", F.max("jac").over(_w()))
+    m = j.select("consulta", "concepto", "rango", F.round(T.ratio(F.col("bm25"), F.max("bm25").over(_w())), 6).alias("s"), F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jac")).withColumn("mj", F.max("jac").over(_w()))
     order = F.when((F.col("rango") <= 20) & (F.col("mj") >= 0.04), F.round(0.75 * F.col("s") + 0.25 * F.col("jac") / F.col("mj"), 6)).otherwise(F.col("s") - 1)
     place = F.row_number().over(_w().orderBy(F.desc(F.col("rango") == 1), order.desc(), "concepto"))
     return m.select("consulta", "concepto", place.cast("bigint").alias("puesto"))
@@ -158,7 +158,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add("wn13_inhibition", "WITH " + _TOP + ", n AS (SELECT consulta, concepto, bm25 / max(bm25) OVER (PARTITION BY consulta) AS s FROM top) SELECT consulta, concepto, round(CASE WHEN max(s) OVER (PARTITION BY consulta) >= 0.8 AND s < 0.7 * max(s) OVER (PARTITION BY consulta) THEN s * 0.6 ELSE s END, 6) AS score FROM n", "nodes")
 def _(v: Views) -> DataFrame:
-    n = top(v).withColumn("s", F.col("bm25") / F.max("bm25").over(_w()))
+    n = top(v).withColumn("s", T.ratio(F.col("bm25"), F.max("bm25").over(_w())))
     return n.select("consulta", "concepto", F.round(S.inhibited(F.col("s"), ["consulta"]), 6).alias("score"))
 
 

@@ -262,7 +262,7 @@ def _(v: Views) -> DataFrame:
     p = x.join(y, "dim").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.sum("idf").alias("w"))
     of = lambda k: size.select(F.col("concepto").alias(k), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}"))
     both = p.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", F.round(0.4 * F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) + 0.6 * F.col("w") / (F.col("wa") + F.col("wb") - F.col("w")), 6).alias("tema"))
+    return both.select("a", "b", F.round(0.4 * F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) + 0.6 * T.ratio(F.col("w"), F.col("wa") + F.col("wb") - F.col("w")), 6).alias("tema"))
 
 
 @C.add("sf10_stem_jaccard")
