@@ -15,7 +15,7 @@ from quipu.operators.cut import cut
 from quipu.operators.skew import heavy_keys, join_with_heavy
 
 #: Vectors per cell aimed at; most cells; cells searched per query; most vectors of a shard; most queries per search task.
-CELL, MOST_CELLS, PROBES, SHARD, ASKED = 800, 4096, 4, 1600, 12_000
+CELL, MOST_CELLS, PROBES, SHARD, ASKED = 800, 4096, 6, 1600, 12_000
 #: Decimals of the unit vector to which vectors count as copies of each other.
 SAME = 6
 
@@ -85,6 +85,7 @@ def _route(pivots, plan):
 
 def _search(k: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_c")  # the graph depends on the order of its nodes
         lives = pdf["_own"].to_numpy() % 2 == 1
         asks = pdf["_own"].to_numpy() >= 2
         empty = pd.DataFrame({"_c": [], "_d": [], "_s": []}).astype({"_c": str, "_d": str, "_s": float})
