@@ -114,7 +114,7 @@ def transitive_edges(edges: DataFrame, hops: int = 2, decay: float = 0.7, floor:
         found.append(paths.select("origen", "destino", "peso", F.lit(n).alias("saltos")))
     every = reduce(DataFrame.unionByName, found).groupBy("origen", "destino").agg(F.max("peso").alias("peso"), F.min("saltos").alias("saltos"))
     new = every.join(edges.select("origen", "destino"), ["origen", "destino"], "left_anti")
-    return first_per(new, ["origen"], [F.desc("peso"), F.asc("destino")], 20).drop("rango")
+    return first_per(new, ["origen"], [F.round("peso", 9).desc(), F.asc("destino")], 20).drop("rango")
 
 
 def propagate(scores: DataFrame, und: DataFrame, seeds: int = 10) -> DataFrame:
