@@ -52,6 +52,13 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1)
 
 
+def _nearest(sims: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n greatest values of each row, greatest first."""
+    some = np.argpartition(-sims, n, axis=1)[:, :n] if n < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
+    order = np.argsort(-np.take_along_axis(sims, some, 1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1)
+
+
 def _route(pivots, plan):
     """Rows (_cell, _c, _u, _own): a vector lives in the shard of its nearest pivot and asks in the
     shards of its nearest PROBES pivots. plan: shards and query blocks of each cell, or None to count."""
@@ -62,7 +69,7 @@ def _route(pivots, plan):
             if not b.num_rows:
                 continue
             names, blobs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            near = np.argsort(-(_matrix(blobs) @ P.T), axis=1, kind="stable")[:, :PROBES]
+            near = _nearest(_matrix(blobs) @ P.T, PROBES)
             if plan is None:
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1]) == 0, len(near)))], ["_cell", "_own"])
                 continue
