@@ -151,7 +151,7 @@ def _tiles(places: np.ndarray, item_places: np.ndarray, size: int) -> list[tuple
 
 
 def _cover(size: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tiles = _tiles(pdf["_p"].to_numpy(), pdf["_q"].to_numpy(), size)
         covered = sum(t[2] for t in tiles)
         return pd.DataFrame({"_id": [key[0]], "_item": [key[1]], "baldosas": [len(tiles)], "mas_larga": [max(t[2] for t in tiles)], "palabras": [covered]})
