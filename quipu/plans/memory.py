@@ -404,3 +404,72 @@ def _(v: Views) -> DataFrame:
     return both.select("origen", "destino", F.round(T.ratio(F.col("c"), F.col("sa") + F.col("sb") - F.col("c")), 6).alias("similitud"))
 
 
+
+
+@C.add("pr8_role_equality", "SELECT DISTINCT origen AS concepto FROM edges WHERE tipo = 'causal' AND destino = 'bitacora_central' UNION SELECT DISTINCT origen FROM edges WHERE tipo = 'manual' AND destino = 'ciclo_de_poda'", "edges")
+def _(v: Views) -> DataFrame:
+    roles = "(tipo = 'causal' and destino = 'bitacora_central') or (tipo = 'manual' and destino = 'ciclo_de_poda')"
+    return v.edges.where(roles).select(F.col("origen").alias("concepto")).distinct()
+
+
+@C.add(
+    "pr9_role_fallback",
+    f"WITH {_NAMES}, q AS (SELECT DISTINCT item_id, unnest({W('consulta', 4)}) AS t FROM casos_qa), h AS (SELECT DISTINCT item_id, concepto FROM q JOIN df USING (t) JOIN w USING (t)) SELECT item_id, e.origen, e.destino, round(least(0.85, CASE WHEN e.tipo = 'causal' THEN 0.65 ELSE 0.5 END + e.peso * 0.1) + 1e-9, 4) AS score FROM h JOIN edges e ON e.destino = h.concepto WHERE e.peso >= 0.8",
+    "nodes edges",
+)
+def _(v: Views) -> DataFrame:
+    """Edges whose object is named in the query, by type and weight."""
+    w = v.nodes.select("concepto", F.explode(F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))).alias("t"))
+    df = w.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= _DF).select("t")
+    q = v.table("casos_qa").select("item_id", F.explode(T.words("consulta", 4)).alias("t")).distinct()
+    h = q.join(df, "t").join(w, "t").select("item_id", F.col("concepto").alias("destino")).distinct()
+    s = F.least(F.lit(0.85), F.when(F.col("tipo") == "causal", 0.65).otherwise(0.5) + F.col("peso") * 0.1)
+    return h.join(v.edges.where("peso >= 0.8"), "destino").select("item_id", "origen", "destino", F.round(s + 1e-9, 4).alias("score"))
+
+
+@C.add("ca9_case_generation", rf"SELECT concepto AS esperado, 'literal' AS clase, array_to_string({W('contenido', 3)}[1:5], ' ') AS consulta FROM nodes WHERE estado = 'activo' AND len({W('contenido', 3)}) >= 5 UNION ALL SELECT concepto, 'nombre', replace(concepto, '_', ' ') FROM nodes WHERE estado = 'activo'", "nodes")
+def _(v: Views) -> DataFrame:
+    w = T.words("contenido", 3)
+    literal = v.active.where(F.size(w) >= 5).select(F.col("concepto").alias("esperado"), F.lit("literal").alias("clase"), F.array_join(F.slice(w, 1, 5), " ").alias("consulta"))
+    return literal.unionByName(v.active.select(F.col("concepto").alias("esperado"), F.lit("nombre").alias("clase"), F.translate("concepto", "_", " ").alias("consulta")))
+
+
+@C.add("ex4_gated_fusion", "WITH " + _TOP + ", g AS (SELECT t.consulta, t.concepto, rango, bm25, act.peso, max(bm25) FILTER (WHERE rango = 1) OVER w - max(bm25) FILTER (WHERE rango = 2) OVER w < 0.5 AS cerca FROM top t JOIN act USING (concepto) WINDOW w AS (PARTITION BY consulta)), f AS (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY peso DESC, concepto) AS r2 FROM g) SELECT consulta, concepto, round(CASE WHEN cerca THEN 1.0 / (60 + rango) + 1.0 / (60 + r2) ELSE 1.0 / (60 + rango) END, 6) AS score FROM f", "nodes")
+def _(v: Views) -> DataFrame:
+    w = Window.partitionBy("consulta")
+    rows = top(v).join(v.active.select("concepto", "peso"), "concepto")
+    at = lambda n: F.max(F.when(F.col("rango") == n, F.col("bm25"))).over(w)
+    f = rows.withColumn("cerca", at(1) - at(2) < 0.5).withColumn("r2", F.row_number().over(w.orderBy(F.desc("peso"), "concepto")))
+    first = S.reciprocal_rank(F.col("rango"))
+    return f.select("consulta", "concepto", F.round(F.when(F.col("cerca"), first + S.reciprocal_rank(F.col("r2"))).otherwise(first), 6).alias("score"))
+
+
+@C.add("se15_vector_fusion")
+def _(v: Views) -> DataFrame:
+    """0.85 * the text score + 0.15 * the cosine of query and node, where both have a vector."""
+    near = top(v).join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta").join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto")
+    fused = 0.85 * S.bm25_unit(F.col("bm25")) + 0.15 * F.greatest(F.lit(0.0), S.cosine(F.col("q"), F.col("vector")))
+    return near.select("consulta", "concepto", F.round(fused, 6).alias("score"))
+
+
+@C.add("ve2d_fold_in")
+def _(v: Views) -> DataFrame:
+    """Vectors of nodes that the vector index lacks, from the vectors of their words."""
+    from quipu.operators.distribution import weighted_mean
+    from quipu.plans.vectors import SIZE, token_vectors
+
+    lack = v.nodes.join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto", "left_anti")
+    words = lack.select("concepto", F.explode(T.words("contenido", 3)).alias("k"))
+    return weighted_mean(words.join(token_vectors(v), "k"), ["concepto"], "vector", F.greatest(F.lit(0.01), "idf"), SIZE)
+
+
+@C.add("gr7_emergent_dimensions")
+def _(v: Views) -> DataFrame:
+    """Groups of five or more with the tag they overlap most (Jaccard 0.5 or more), else a name of their own."""
+    labels = G.label_propagation(v.und, 3)
+    size = labels.groupBy("grupo").agg(F.count(F.lit(1)).alias("ng")).where("ng >= 5")
+    tag = v.dims.groupBy("dim").agg(F.count(F.lit(1)).alias("nd"))
+    both = labels.join(size, "grupo").join(v.dims, "concepto").groupBy("grupo", "ng", "dim").agg(F.count(F.lit(1)).alias("c")).join(tag, "dim")
+    best = both.withColumn("j", F.col("c") / (F.col("ng") + F.col("nd") - F.col("c"))).groupBy("grupo").agg(F.max(F.struct("j", "dim")).alias("m"))
+    name = F.when(F.col("m.j") >= 0.5, F.col("m.dim")).otherwise(F.concat(F.lit("auto_"), "grupo"))
+    return size.join(best, "grupo", "left").select("grupo", F.col("ng").alias("miembros"), F.coalesce(name, F.concat(F.lit("auto_"), "grupo")).alias("dimension"))
