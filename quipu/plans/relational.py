@@ -84,9 +84,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(changed).select("concepto", action.alias("accion"))
 
 
-@C.add("sk6_archive_deleted", "SELECT concepto, estado, peso FROM nodes WHERE estado = 'dormido' AND peso <= 0.1", "nodes")
+@C.add("sk6_archive_deleted", "SELECT concepto, estado, peso FROM nodes WHERE estado = 'dormido' AND peso <= 0.3", "nodes")
 def _(v: Views) -> DataFrame:
-    kept = v.nodes.where("not (estado = 'dormido' and peso <= 0.1)").select("concepto")
+    kept = v.nodes.where("not (estado = 'dormido' and peso <= 0.3)").select("concepto")
     return v.nodes.join(kept, "concepto", "left_anti").select("concepto", "estado", "peso")
 
 
@@ -363,9 +363,10 @@ def _(v: Views) -> DataFrame:
     return lost.groupBy("extremo").agg(F.sum("n").alias("n"))
 
 
-@C.add("jn11_isolated", "SELECT concepto FROM nodes ANTI JOIN und ON a = concepto", "nodes edges und")
+@C.add("jn11_isolated", "SELECT concepto FROM nodes ANTI JOIN und ON a = concepto AND und.peso >= 0.9", "nodes edges und")
 def _(v: Views) -> DataFrame:
-    return v.nodes.join(v.und.select(F.col("a").alias("concepto")), "concepto", "left_anti").select("concepto")
+    """Nodes without an edge of 0.9 or more."""
+    return v.nodes.join(v.und.where("peso >= 0.9").select(F.col("a").alias("concepto")), "concepto", "left_anti").select("concepto")
 
 
 @C.add(
