@@ -19,16 +19,18 @@ def _weigh(weight: float):
     return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, most_common: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """asked: consulta, term (distinct). Out: consulta, key, bm25 (greater is better), terminos (terms hit).
 
-    Terms of more than `most_common` of the records select nothing and are left out: that bounds
-    the postings a term brings into the join.
+    Every term counts, however common; one that most records hold has the least weight, 1e-6. The asked
+    terms are broadcast and postings scored where they lie: if those of a key lie together, as
+    inverted_index leaves them, the sums need no shuffle and a common term makes no hot task.
     """
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_common * n)
+    met = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = asked.join(df.select("term", idf.alias("idf")), "term")
-    hits = weighed.join(postings, "term").join(lengths, key)
+    hits = met.join(lengths, key).join(F.broadcast(weighed), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
     return hits.groupBy("consulta", key).agg(F.round(F.sum(part), 6).alias("bm25"), F.count(F.lit(1)).alias("terminos"))

@@ -84,9 +84,8 @@ def _(v: Views) -> DataFrame:
 
 @C.add("pr12_all_terms", "WITH " + _IDX + ", n AS (SELECT consulta, count(*) AS n FROM q JOIN dfs USING (term) GROUP BY 1) SELECT consulta, concepto FROM hits JOIN n USING (consulta) WHERE terminos = n.n", "nodes")
 def _(v: Views) -> DataFrame:
-    postings, lengths = index(v)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= 0.2 * lengths.count())
-    n = asked(v).join(df.select("term"), "term").groupBy("consulta").agg(F.count(F.lit(1)).alias("n"))
+    known = index(v)[0].join(F.broadcast(asked(v).select("term").distinct()), "term", "left_semi").select("term").distinct()
+    n = asked(v).join(known, "term").groupBy("consulta").agg(F.count(F.lit(1)).alias("n"))
     return hits(v).join(n, "consulta").where("terminos = n").select("consulta", "concepto")
 
 
@@ -204,23 +203,22 @@ SELECT DISTINCT item_id AS consulta, x.concepto FROM d JOIN df ON df.t = a JOIN
 def _(v: Views) -> DataFrame:
     """Two words that follow each other in the query, at most 15 words apart in the content."""
     p = v.nodes.select("concepto", F.posexplode(T.words("contenido", 3)).alias("i", "t")).groupBy("t", "concepto").agg(F.collect_list("i").alias("i"))
-    rare = p.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= 0.2 * v.nodes.count()).select("t")
-    kept = p.join(rare, "t", "left_semi")
     d = v.table("casos_qa").select(F.col("item_id").alias("consulta"), T.words("consulta", 3).alias("w")).where("size(w) > 1")
     d = d.select("consulta", F.inline(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b")))).where("a <> b").distinct()
-    both = d.join(kept.select(F.col("t").alias("a"), "concepto", F.col("i").alias("x")), "a").join(kept.select(F.col("t").alias("b"), "concepto", F.col("i").alias("y")), ["b", "concepto"])
+    # pairs of words meet the contents where these lie, then the queries that ask for them
+    ab = F.broadcast(d.select("a", "b").distinct())
+    both = p.select(F.col("t").alias("a"), "concepto", F.col("i").alias("x")).join(ab, "a").join(p.select(F.col("t").alias("b"), "concepto", F.col("i").alias("y")), ["b", "concepto"])
     close = F.exists("x", lambda m: F.exists("y", lambda n: F.abs(m - n) <= 15))
-    return both.where(close).select("consulta", "concepto").distinct()
+    return both.where(close).select("a", "b", "concepto").join(F.broadcast(d), ["a", "b"]).select("consulta", "concepto").distinct()
 
 
 @C.add("se6h_prefix_layer", "WITH " + _IDX + ", p AS (SELECT DISTINCT consulta, left(term, 5) AS s FROM q WHERE length(term) >= 5), x AS (SELECT left(term, 5) AS s, concepto, term FROM idx WHERE length(term) >= 5), k AS (SELECT s FROM x GROUP BY 1 HAVING count(DISTINCT concepto) <= 0.2 * (SELECT n FROM st)) SELECT consulta, concepto, count(DISTINCT s) AS prefijos FROM p JOIN k USING (s) JOIN x USING (s) GROUP BY 1, 2", "nodes")
 def _(v: Views) -> DataFrame:
-    postings, lengths = index(v)
+    postings, _ = index(v)
     s = F.substring("term", 1, 5)
     p = asked(v).where(F.length("term") >= 5).select("consulta", s.alias("s")).distinct()
     x = postings.where(F.length("term") >= 5).select(s.alias("s"), "concepto").distinct()
-    k = x.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= 0.2 * lengths.count()).select("s")
-    return p.join(k, "s").join(x, "s").groupBy("consulta", "concepto").agg(F.count(F.lit(1)).alias("prefijos"))
+    return x.join(F.broadcast(p), "s").groupBy("consulta", "concepto").agg(F.count(F.lit(1)).alias("prefijos"))
 
 
 @C.add("se6l_recent_hits", "WITH " + _TOP + ", n AS (SELECT max(ultimo_acceso) AS m FROM nodes) SELECT consulta, concepto FROM (SELECT t.consulta, t.concepto, row_number() OVER (PARTITION BY consulta ORDER BY bm25 DESC, concepto) AS r FROM top t JOIN act USING (concepto), n WHERE act.ultimo_acceso >= n.m - INTERVAL 30 DAY) WHERE r <= 5", "nodes")

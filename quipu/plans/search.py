@@ -266,10 +266,8 @@ def _(v: Views) -> DataFrame:
 
 @C.add("se8_validate_words", "WITH " + _IDX + " SELECT term, df FROM dfs WHERE term IN (SELECT term FROM q)", "nodes")
 def _(v: Views) -> DataFrame:
-    postings, lengths = index(v)
-    n = lengths.count()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= 0.2 * n)
-    return df.join(asked(v).select("term"), "term", "left_semi")
+    met = index(v)[0].join(F.broadcast(asked(v).select("term").distinct()), "term", "left_semi")
+    return met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @C.add("se7_burst", "WITH " + _TOP + " SELECT concepto, count(*) AS rafagas, round(sum(terminos) / CAST(count(*) AS DOUBLE), 6) AS densidad FROM top WHERE rango <= 10 GROUP BY 1", "nodes")
