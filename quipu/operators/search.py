@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.graph import first_per
+
 
 def inverted_index(rows: DataFrame, key: str, fields: dict[str, tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
     """fields: tokens and weight of each. Out: postings (key, term, tf, the weighted count) and
@@ -34,3 +38,26 @@ def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, k1
     hits = met.join(lengths, key).join(F.broadcast(weighed), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
     return hits.groupBy("consulta", key).agg(F.round(F.sum(part), 6).alias("bm25"), F.count(F.lit(1)).alias("terminos"))
+
+
+def nearest(nodes: DataFrame, key: str, asked: DataFrame, n: int) -> DataFrame:
+    """nodes: key, vector; asked: consulta, vector, a batch that goes to every task. Out: consulta, key, coseno of
+    the n nodes of greatest cosine above 0, ties to the least key; every node is compared."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    batch = asked.select("consulta", "vector").collect()
+    if not batch:
+        return nodes.select(F.lit(None).cast("bigint").alias("consulta"), key, F.lit(0.0).alias("coseno")).limit(0)
+    ids, q = np.array([r[0] for r in batch]), unit(np.array([r[1] for r in batch], dtype=float))
+
+    def run(frames):
+        for pdf in frames:
+            if len(pdf):
+                names = pdf[key].to_numpy()
+                cos = np.round(unit(np.stack([np.asarray(x, dtype=float) for x in pdf["vector"]])) @ q.T, 6)
+                for j in range(len(ids)):
+                    least = np.partition(cos[:, j], -n)[-n] if len(names) > n else -1.0
+                    best = np.flatnonzero(cos[:, j] >= least)
+                    yield pd.DataFrame({"consulta": ids[j], key: names[best], "coseno": cos[best, j]})
+
+    scored = nodes.select(key, "vector").mapInPandas(run, f"consulta bigint, {key} string, coseno double").where("coseno > 0")
+    return first_per(scored, ["consulta"], [F.desc("coseno"), F.asc(key)], n).select("consulta", key, "coseno")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quipu.functions import score as S
 from quipu.functions import text as T
-from quipu.operators.graph import first_per, neighbour_counts, propagate
+from quipu.operators.graph import first_per, propagate
 from quipu.operators.search import bm25, inverted_index
 from quipu.operators.unpack import unpack
 from quipu.plans.relational import W
@@ -52,20 +52,10 @@ def top(v: Views, n: int = 50) -> DataFrame:
 
 
 def hybrid_hits(v: Views) -> DataFrame:
-    """The flagship: 50 candidates a query by BM25, scored by the hybrid of seven signals."""
-    near = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q"))
-    texts = v.active.select("concepto", "peso", T.words(F.translate("concepto", "_", " "), 3).alias("c"), T.words("sinonimos", 3).alias("s"))
-    grade = neighbour_counts(v.und).select(F.col("a").alias("concepto"), "n")
-    rows = top(v).join(F.broadcast(near), "consulta").join(texts, "concepto").join(grade, "concepto", "left")
-    signals = {
-        "bm25": S.bm25_unit(F.col("bm25")),
-        "concepto": T.coverage(F.col("q"), F.col("c")),
-        "sinonimos": T.coverage(F.col("q"), F.col("s")),
-        "peso": S.unit(F.col("peso")),
-        "asociaciones": F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 20.0),
-    }
-    exact = F.size(F.array_except("q", "c")) + F.size(F.array_except("c", "q")) == 0
-    return rows.select("consulta", "concepto", F.round(S.hybrid(signals, exact), 6).alias("score"))
+    """The flagship: the candidates of all layers, scored by the hybrid of the signals that have data."""
+    from quipu.plans import fusion
+
+    return fusion.hybrid_hits(v)
 
 
 _HYBRID = _TOP + f""",

@@ -38,3 +38,17 @@ def test_queries_of_common_words_find_their_nodes(spark, template):
     for name in ("sf1b_bm25_topk", "se4_content_coverage", "pr12_all_terms", "pr13_coverage_gate", "se6e_near", "se6h_prefix_layer"):
         assert {r["concepto"] for r in registry.QUERIES[name](spark, template).collect()} == want, name
     assert rows(registry.QUERIES["se8_validate_words"](spark, template)) == [("comun", 3), ("plantilla", 3)]
+
+
+def test_flagship_finds_what_only_another_layer_reaches(spark, tmp_path):
+    axis = lambda i: [1.0 if j == i else 0.0 for j in range(100)]
+    names = ["texto_igual", "vecino_latente", "solo_vector", "solo_hub", "montanas_altas", "ajeno"]
+    d = folder(spark, tmp_path, [(c, "consulta escrita" if c == "texto_igual" else "otra cosa") for c in names], [(1, "consulta escrita"), (2, "zorro"), (3, "montaxas montanaz")])
+    put = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
+    put("sinapsis", [("texto_igual", "vecino_latente", 0.3, "manual", T0, T0)], "origen string, destino string, peso double, tipo string, creado_en timestamp_ntz, ultimo_uso timestamp_ntz")
+    put("concept_hub_nodes", [("zorro", 7), ("solo_hub", 7)], "node_concepto string, hub_id bigint")
+    put("nodos", [("solo_vector", axis(0)), ("ajeno", axis(1))], "concepto string, vector array<double>")
+    put("tokens", [("escrita", 1, axis(0))], "token string, freq bigint, vector array<double>")
+    got = {(r["consulta"], r["concepto"]) for r in registry.QUERIES["se6_hybrid_search"](spark, d).collect()}
+    assert {(1, "texto_igual"), (1, "vecino_latente"), (1, "solo_vector"), (2, "solo_hub"), (3, "montanas_altas")} <= got
+    assert "ajeno" not in {c for _, c in got}
