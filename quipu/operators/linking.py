@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
@@ -10,15 +10,29 @@ from quipu.operators.similar import jaccard_join
 from quipu.operators.unpack import unpack
 
 
-def _shared(rows: DataFrame, least: float, most_common: int) -> DataFrame:
-    """rows: k, s (sets). Pairs a < b by the share of the smaller set, over elements that at most
-    `most_common` keys hold: commoner ones tell nothing and would pair everything."""
-    items = rows.select("k", F.size("s").alias("n"), F.explode("s").alias("t"))
-    rare = items.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_common).select("t")
-    kept = items.join(rare, "t")
-    x, y = kept.select("t", F.col("k").alias("a"), F.col("n").alias("na")), kept.select("t", F.col("k").alias("b"), F.col("n").alias("nb"))
-    n = x.join(y, "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return n.withColumn("s", F.col("c") / F.least("na", "nb")).where(F.col("s") >= least).select("a", "b", "s")
+def _shared(rows: DataFrame, least: float) -> DataFrame:
+    """rows: k, s (sets of distinct strings). Pairs a < b whose sets share `least` or more of the smaller one: a, b, s.
+
+    Exact: with elements in order of their frequency, rarest first, the larger set holds one of the
+    first size - ceil(least * size) + 1 elements of the smaller, so only those look for partners. Equal
+    sets are one row while they meet.
+    """
+    keyed = rows.where(F.size("s") > 0).withColumn("c", F.array_sort("s")).select("k", "c")
+    one = keyed.groupBy("c").agg(F.min("k").alias("rep"))
+    items = one.select("rep", F.size("c").alias("n"), F.explode("c").alias("t"))
+    df = items.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = items.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
+    x = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("t", F.col("rep").alias("x"), F.col("n").alias("nx"))
+    y = items.select("t", F.col("rep").alias("y"), F.col("n").alias("ny"))
+    cand = x.join(y, "t").where("nx < ny or (nx = ny and x < y)").select("x", "y").distinct()
+    full = one.select("rep", "c")
+    both = cand.join(full.select(F.col("rep").alias("x"), F.col("c").alias("cx")), "x").join(full.select(F.col("rep").alias("y"), F.col("c").alias("cy")), "y")
+    scored = both.select("x", "y", (F.size(F.array_intersect("cx", "cy")) / F.size("cx")).alias("s")).where(F.col("s") >= least)
+    scored = scored.unionByName(one.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("s")))
+    member = keyed.join(one, "c").select("rep", "k")
+    pairs = scored.join(member.select(F.col("rep").alias("x"), F.col("k").alias("p")), "x").join(member.select(F.col("rep").alias("y"), F.col("k").alias("q")), "y")
+    # a pair of different sets comes once, one of equal sets both ways round
+    return pairs.where("p < q or (x <> y and p > q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "s")
 
 
 def link_by_tokens(nodes: DataFrame, least: float = 0.8) -> DataFrame:
@@ -27,16 +41,16 @@ def link_by_tokens(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     return pairs.select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("jaccard").alias("peso"), F.lit("co_ocurrencia").alias("tipo"))
 
 
-def link_by_name(nodes: DataFrame, least: float = 0.3, most_common: int = 50) -> DataFrame:
+def link_by_name(nodes: DataFrame, least: float = 0.3) -> DataFrame:
     """co_nombre: names that share that part of the smaller name's words of four or more characters."""
     parts = F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))
-    return _shared(nodes.select(F.col("concepto").alias("k"), parts.alias("s")), least, most_common).select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("s").alias("peso"))
+    return _shared(nodes.select(F.col("concepto").alias("k"), parts.alias("s")), least).select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("s").alias("peso"))
 
 
-def link_by_synonyms(nodes: DataFrame, most_common: int = 50, least: float = 0.4) -> DataFrame:
+def link_by_synonyms(nodes: DataFrame, least: float = 0.4) -> DataFrame:
     """co_semantica: synonym sets that overlap by `least`: 0.6 * overlap + 0.4 * the mean node weight."""
     values = unpack(nodes, "sinonimos", ["concepto"]).groupBy("concepto").agg(F.collect_set(F.lower("valor")).alias("s"))
-    pairs = _shared(values.withColumnRenamed("concepto", "k"), least, most_common)
+    pairs = _shared(values.withColumnRenamed("concepto", "k"), least)
     w = lambda c, p: nodes.select(F.col("concepto").alias(c), F.col("peso").alias(p))
     both = pairs.join(w("a", "pa"), "a").join(w("b", "pb"), "b")
     return both.select(F.col("a").alias("origen"), F.col("b").alias("destino"), (0.6 * F.col("s") + 0.2 * (F.col("pa") + F.col("pb"))).alias("peso"), F.lit("co_semantica").alias("tipo"))

@@ -228,12 +228,12 @@ WHERE df.n <= 50 GROUP BY 1, 2, ta.w, tb.w HAVING count(*) / CAST(least(len(ta.w
     "nodes",
 )
 def _(v: Views) -> DataFrame:
-    return link_by_name(v.active, 0.3, 50).withColumn("peso", F.round("peso", 6))
+    return link_by_name(v.active, 0.3).withColumn("peso", F.round("peso", 6))
 
 
 @C.add("gr1_link_by_synonyms")
 def _(v: Views) -> DataFrame:
-    return link_by_synonyms(v.active, 50).withColumn("peso", F.round("peso", 6))
+    return link_by_synonyms(v.active).withColumn("peso", F.round("peso", 6))
 
 
 @C.add(

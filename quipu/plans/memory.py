@@ -21,7 +21,7 @@ from quipu.plans.views import Catalogue, Views
 
 C = Catalogue()
 QUERIES, SQL = C.queries, C.sql
-_DF = 50  # a word that more names than this hold tells nothing about one of them
+_DF = 50  # of the SQL only: the queries keep the words that more names than this hold
 
 
 # ---- sources and sinks
@@ -158,10 +158,9 @@ SELECT doc_id, concepto, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_i
 )
 def _(v: Views) -> DataFrame:
     w = v.nodes.select("concepto", F.explode(F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))).alias("t"))
-    rare = w.join(w.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= _DF).select("t"), "t", "left_semi")
     # only words of names leave the documents
     m = v.table("documents").select("doc_id", F.explode(F.array_distinct(T.words("text", 4))).alias("t"))
-    j = m.join(rare, "t").groupBy("doc_id", "concepto").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    j = m.join(w, "t").groupBy("doc_id", "concepto").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return first_per(j, ["doc_id"], [F.desc("n"), F.asc("concepto")], 10).select("doc_id", "concepto", "n")
 
 
@@ -283,9 +282,8 @@ _NAMES = rf"w AS (SELECT concepto, unnest(list_distinct(list_filter(string_split
 @C.add("se18_familiarity", f"WITH {_NAMES} SELECT DISTINCT item_id, concepto FROM (SELECT item_id, unnest({W('consulta', 4)}) AS t FROM casos_qa) q JOIN df USING (t) JOIN w USING (t)", "nodes")
 def _(v: Views) -> DataFrame:
     w = v.nodes.select("concepto", F.explode(F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))).alias("t"))
-    df = w.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= _DF).select("t")
     q = v.table("casos_qa").select("item_id", F.explode(T.words("consulta", 4)).alias("t")).distinct()
-    return q.join(df, "t").join(w, "t").select("item_id", "concepto").distinct()
+    return w.join(F.broadcast(q), "t").select("item_id", "concepto").distinct()
 
 
 @C.add(
@@ -296,12 +294,12 @@ SELECT concepto, viejo, round(s, 6) AS similitud FROM (SELECT *, row_number() OV
     "nodes",
 )
 def _(v: Views) -> DataFrame:
-    """Older nodes by what they share of words that fifty nodes have at most."""
+    """Older nodes by the Jaccard of the words of their contents."""
     t = v.nodes.select("concepto", "creado_en", F.explode(F.array_distinct(T.words("contenido", 4))).alias("t"))
     n = t.groupBy("concepto").agg(F.count(F.lit(1)).alias("n"))
-    df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(f"df between 2 and {_DF}").select("t")
-    rare = t.join(df, "t", "left_semi")
-    x, y = rare, rare.select("t", F.col("concepto").alias("viejo"), F.col("creado_en").alias("antes"))
+    df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("t")
+    kept = t.join(df, "t", "left_semi")
+    x, y = kept, kept.select("t", F.col("concepto").alias("viejo"), F.col("creado_en").alias("antes"))
     j = x.join(y, "t").where("antes < creado_en").groupBy("concepto", "viejo").agg(F.count(F.lit(1)).alias("c"))
     s = j.join(n.withColumnRenamed("n", "na"), "concepto").join(n.select(F.col("concepto").alias("viejo"), F.col("n").alias("nb")), "viejo").withColumn("s", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where("s >= 0.05")
     return first_per(s, ["concepto"], [F.desc("s"), F.asc("viejo")], 3).select("concepto", "viejo", F.round("s", 6).alias("similitud"))
@@ -418,9 +416,8 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     """Edges whose object is named in the query, by type and weight."""
     w = v.nodes.select("concepto", F.explode(F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))).alias("t"))
-    df = w.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= _DF).select("t")
     q = v.table("casos_qa").select("item_id", F.explode(T.words("consulta", 4)).alias("t")).distinct()
-    h = q.join(df, "t").join(w, "t").select("item_id", F.col("concepto").alias("destino")).distinct()
+    h = w.join(F.broadcast(q), "t").select("item_id", F.col("concepto").alias("destino")).distinct()
     s = F.least(F.lit(0.85), F.when(F.col("tipo") == "causal", 0.65).otherwise(0.5) + F.col("peso") * 0.1)
     return h.join(v.edges.where("peso >= 0.8"), "destino").select("item_id", "origen", "destino", F.round(s + 1e-9, 4).alias("score"))
 
