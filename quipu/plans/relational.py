@@ -365,8 +365,8 @@ def _(v: Views) -> DataFrame:
 
 @C.add("jn11_isolated", "SELECT concepto FROM nodes ANTI JOIN und ON a = concepto AND und.peso >= 0.9", "nodes edges und")
 def _(v: Views) -> DataFrame:
-    """Nodes without an edge of 0.9 or more."""
-    return v.nodes.join(v.und.where("peso >= 0.9").select(F.col("a").alias("concepto")), "concepto", "left_anti").select("concepto")
+    """Nodes without an edge."""
+    return v.nodes.join(v.und.select(F.col("a").alias("concepto")), "concepto", "left_anti").select("concepto")
 
 
 @C.add(

@@ -27,3 +27,10 @@ def test_names_of_common_words_are_linked(spark):
 def test_queries_meet_names_of_common_words(spark, tmp_path):
     d = folder(spark, tmp_path, [(f"comun_n{i}", "texto") for i in range(60)], [(1, "algo comun")])
     assert registry.QUERIES["se18_familiarity"](spark, d).count() == 60
+
+
+def test_a_node_with_a_light_edge_is_not_isolated(spark, tmp_path):
+    d = folder(spark, tmp_path, [(c, "texto") for c in "abc"], [(1, "texto")])
+    edge = "origen string, destino string, peso double, tipo string, creado_en timestamp_ntz, ultimo_uso timestamp_ntz"
+    spark.createDataFrame([("a", "b", 0.1, "manual", None, None)], edge).write.parquet(f"{d}/sinapsis.parquet")
+    assert rows(registry.QUERIES["jn11_isolated"](spark, d)) == [("c",)]
