@@ -27,7 +27,7 @@ class ProximityGraph:
     again when back edges have filled half as many places more. beam: width of searches; slack: an edge is
     dropped if a kept neighbour is `slack` times nearer to its end."""
 
-    def __init__(self, X: np.ndarray, degree: int = 16, beam: int = 24, slack: float = 1.2, batch: int = 512, entries: int = 256):
+    def __init__(self, X: np.ndarray, degree: int = 16, beam: int = 24, slack: float = 1.2, batch: int = 512, entries: int = 1024):
         n = len(X)
         self.X = np.concatenate([np.asarray(X, np.float32), np.zeros((1, X.shape[1]), np.float32)])  # row n: no node
         self.degree, self.beam, self.slack = degree, beam, np.float32(slack)

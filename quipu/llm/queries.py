@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "sinapsis")
     good = edges.where("peso >= 0 and peso <= 1 and not isnan(peso)").select(key("origen").alias("origen"), key("destino").alias("destino"), "peso")
-    return top_n(good, "origen", "destino", "peso", 5, edges.count()).select("origen", "destino")
+    return top_n(good, "origen", "destino", "peso", 5).select("origen", "destino")
 
 
 def _words_and_kinds(spark: SparkSession, d: str) -> DataFrame:
