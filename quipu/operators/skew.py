@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that may be broadcast after they have been counted: some ten MB of short keys.
+BROADCAST_ROWS = 200_000
+
 #: A key is heavy if it holds more than one row in HEAVY_PARTS of all rows, so there are
 #: fewer than HEAVY_PARTS of them whatever the data: that is what bounds their broadcast.
 HEAVY_PARTS = 1000
@@ -45,3 +48,10 @@ def join_with_heavy(rows: DataFrame, lookup: DataFrame, column: str, heavy: Data
     here = rows.join(hot_lookup, column)
     there = rows.join(hot, column, "left_anti").join(lookup, column)
     return here.unionByName(there)
+
+
+def join_checked(rows: DataFrame, lookup: DataFrame, column: str, how: str) -> DataFrame:
+    """rows joined with a lookup of one narrow row per key: in place if the lookup, counted here, has BROADCAST_ROWS
+    at most, by a shuffle otherwise (a key's rows are then split by adaptive execution). The lookup should be cut."""
+    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(lookup) if small else lookup, column, how)
