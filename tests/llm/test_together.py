@@ -17,11 +17,14 @@ def brute(records, least, lift):
     return sorted((a, b, c, single[a], single[b]) for (a, b), c in pair.items() if c >= least and c * n >= lift * single[a] * single[b])
 
 
-@pytest.mark.parametrize("dense", [4, 16, 100_000])
-def test_against_brute_force(spark, monkeypatch, dense):
-    """Whatever counts as frequent, the three ways of counting give the same."""
+@pytest.mark.parametrize(("dense", "wide", "part"), [(4, 256, 9), (16, 256, 9), (100_000, 256, 9), (16, 2, 2), (4, 1, 1), (16, 4, 2)])
+def test_against_brute_force(spark, monkeypatch, dense, wide, part):
+    """Whatever counts as frequent, the three ways of counting give the same, also where records are wide."""
     monkeypatch.setattr(together, "DENSE", dense)
     monkeypatch.setattr(together, "BLOCK", 70)
+    monkeypatch.setattr(together, "GATHERED", 300)
+    monkeypatch.setattr(together, "WIDE", wide)
+    monkeypatch.setattr(together, "PART", part)
     r = random.Random(dense)
     records = {}
     for k in range(300):
@@ -34,6 +37,15 @@ def test_against_brute_force(spark, monkeypatch, dense):
     assert got.count() > 5
 
 
+def test_a_record_of_very_many_items(spark):
+    """A third of all rows lie in one record: its pairs are not spelled out."""
+    many = spark.range(50_000).selectExpr("'s' _scope", "'ancho' _rec", "cast(id as string) _item")
+    few = spark.range(100_000).selectExpr("'s' _scope", "cast(id % 10000 as string) _rec", "cast((id % 10000) * 5 + id div 20000 as string) _item").distinct()
+    again = spark.range(60).selectExpr("'s' _scope", "concat('r', id % 12) _rec", "cast(7 + 9 * (id % 5) as string) _item").distinct()
+    got = together.pairs_of_scope(many.unionByName(few).unionByName(again), "s", 9, 2.0)
+    assert {(r["item_a"], r["item_b"]) for r in got.collect()} == {tuple(sorted(x)) for x in combinations(map(str, range(7, 52, 9)), 2)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "_scope string, _rec string, _item string")
     assert together.pairs_of_scope(df, "s", 2, 1.0).count() == 0
