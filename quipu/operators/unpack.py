@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.cut import cut
+from quipu.operators.skew import heavy_keys, join_with_heavy
+
 #: Single characters that part values wherever they stand outside a quotation.
 MARKS = [",", ";", "|", "\n", "\t", "•", "·", "，", "、", "；"]
 #: Slash and hyphen part values only with blanks around them.
@@ -16,6 +20,13 @@ WRAPPERS = {"[": "]", "{": "}"}
 DOUBLE = r'"(?:[^"\\]|\\.|"")*"'
 SINGLE = r"'(?:[^'\\]|\\.|'')*'"
 TRIM = r"^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$"
+#: Characters of all rules together up to which these are broadcast, counted before; beyond it they are joined.
+BROADCAST_CHARS = 16_000_000
+
+_SIGNS = r"""\[\]{}"'\\/\-""" + "".join("\\" + m if m == "|" else m for m in MARKS)
+#: A field falls into pieces: a run of ordinary characters, a run of blanks, or one character that means something.
+ORDINARY, BLANKS = rf"[^\s{_SIGNS}]+", r"[\s&&[^\n\t]]+"
+PIECE = rf"{ORDINARY}|{BLANKS}|(?s:.)"
 
 
 def trimmed(c: Column) -> Column:
@@ -23,47 +34,42 @@ def trimmed(c: Column) -> Column:
 
 
 def skeleton(value: Column) -> Column:
-    """What decides how a field is split, with ordinary characters masked out.
+    """The trimmed value with its runs of ordinary characters masked as x and its runs of blanks as one: a character a piece."""
+    return F.regexp_replace(F.regexp_replace(trimmed(value), ORDINARY, "x"), BLANKS, " ")
 
-    Enclosing bracket, whether single quotes quote (only in a bracket that opens with one),
-    whether double quotes occur, and the set of delimiters outside quotations. At most
-    3 * 2 * 2 * 2**len(MARKS + BLANKED) texts exist, whatever the data.
-    """
-    v = trimmed(value)
-    first, last = F.substring(v, 1, 1), F.right(v, F.lit(1))
-    wrap = F.lit("")
-    for a, b in WRAPPERS.items():
-        wrap = F.when((first == a) & (last == b) & (F.length(v) > 1), F.lit(a)).otherwise(wrap)
-    single = (wrap != "") & v.rlike(r"^[\[{]\s*'")
-    bare = F.regexp_replace(v, DOUBLE, "Q")
-    bare = F.when(single, F.regexp_replace(bare, SINGLE, "Q")).otherwise(bare)
-    seen = [F.when(F.contains(bare, F.lit(m)), F.lit(m)).otherwise("") for m in MARKS]
-    seen += [F.when(bare.rlike(r"(?:^|\s)/|/(?:\s|$)"), F.lit("/")).otherwise(""), F.when(bare.rlike(r"(?:^|\s)-(?:\s|$)"), F.lit("-")).otherwise("")]
-    return F.concat(wrap, F.when(single, "'").otherwise(""), F.when(F.contains(v, F.lit('"')), '"').otherwise(""), F.lit("x"), *seen)
-
-
-def splitting_rule(text: str) -> tuple[str, bool]:
-    """From a skeleton: the pattern of one value with its quotation, and whether it is wrapped."""
-    head, _, marks = text.partition("x")
-    plain = "".join("\\" + m if m in "|[]" else {"\n": "\\n", "\t": "\\t"}.get(m, m) for m in marks if m not in BLANKED)
+
+def splitting_rule(text: str) -> tuple[bool, list[tuple[int, int]]]:
+    """From a skeleton: whether single quotes quote, and each value's first piece (from 1) and its number of pieces.
+
+    Brackets around all are left out. Single quotes quote only in a bracket that opens with one. What parts values
+    is what occurs outside quotations."""
+    wrapped = len(text) > 1 and WRAPPERS.get(text[0]) == text[-1]
+    single = wrapped and text[1:].lstrip().startswith("'")
+    bare = re.sub(DOUBLE, "Q", text, flags=re.S)
+    if single:
+        bare = re.sub(SINGLE, "Q", bare, flags=re.S)
+    plain = "".join(re.escape(m) for m in MARKS if m in bare)
     shut = [f"[{plain}]"] * bool(plain)
     also, free = "", plain
-    if "/" in marks:
+    if re.search(r"(?:^|\s)/|/(?:\s|$)", bare):
         free, also = free + "/", also + r"|(?<=\S)/(?=\S)"
         shut.append(r"\s/|/\s")
-    if "-" in marks:
+    if re.search(r"(?:^|\s)-(?:\s|$)", bare):
         free, also = free + r"\-", also + r"|-(?=\S)|(?<=\S)-"
         shut.append(r"-\s")
     run = f"(?:[^{free}]{also})+" if free else r"(?s:.)+"
-    end = "(?=\\s*(?:" + "|".join([*shut, "$"]) + "))"
-    quoted = [DOUBLE + end] * ('"' in head) + [SINGLE + end] * ("'" in head)
-    return "|".join([*(rf"\s*{q}" for q in quoted), run]), head[:1] in WRAPPERS and head[:1] != ""
+    end = "(?=\\s*(?:" + "|".join([*shut, r"\Z"]) + "))"
+    quoted = [DOUBLE + end] * ('"' in text) + [SINGLE + end] * single
+    value = re.compile("|".join([*(rf"\s*{q}" for q in quoted), run]), re.S)
+    body, skipped = (text[1:-1], 1) if wrapped else (text, 0)
+    return single, [(m.start() + skipped + 1, m.end() - m.start()) for m in value.finditer(body) if m.group().strip()]
 
 
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [splitting_rule(s) for s in b["_esqueleto"]]
-        yield pd.DataFrame({"_esqueleto": b["_esqueleto"], "_patron": [g[0] for g in got], "_envuelto": [g[1] for g in got]})
+        spans = [[{"b": b_, "n": n} for b_, n in g[1]] for g in got]
+        yield pd.DataFrame({"_esqueleto": b["_esqueleto"], "_simple": [g[0] for g in got], "_tramos": spans})
 
 
 def _unquoted(raw: Column) -> Column:
@@ -87,16 +93,24 @@ def unpack(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
     its doubled or escaped characters resolved; enclosing quotes, brackets, list marks and
     outer blanks go. Null, empty and delimiter-only fields give no row.
 
-    The rule is resolved once per distinct skeleton, and skeletons are bounded (see skeleton),
-    so the broadcast of rules is bounded too; the rows themselves are never shuffled.
+    The skeleton of a field says where its values lie among its pieces. This is resolved once per distinct skeleton; the
+    rules are broadcast as long as they are short altogether, and the fields cut by position. Fields of ever new shapes
+    make many rules: these are joined by skeleton, those of frequent skeletons where the rows lie.
     """
-    marked = rows.where(F.col(f"`{column}`").isNotNull()).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("_campo"))
+    named = [F.col(f"`{c}`") for c in keep]
+    marked = rows.where(F.col(f"`{column}`").isNotNull()).select(*named, trimmed(F.col(f"`{column}`")).alias("_campo")).where("_campo <> ''")
     marked = marked.withColumn("_esqueleto", skeleton(F.col("_campo")))
-    rules = marked.select("_esqueleto").distinct().mapInPandas(_rules, "_esqueleto string, _patron string, _envuelto boolean")
-    v = trimmed(F.col("_campo"))
-    body = F.when(F.col("_envuelto"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    shapes = cut(marked.groupBy("_esqueleto").agg(F.count(F.lit(1)).alias("_n")))
+    size = shapes.agg(F.sum(F.length("_esqueleto")).alias("chars"), F.sum("_n").alias("rows")).first()
+    rules = shapes.select("_esqueleto").mapInPandas(_rules, "_esqueleto string, _simple boolean, _tramos array<struct<b: int, n: int>>")
+    if (size["chars"] or 0) <= BROADCAST_CHARS:
+        ruled = marked.join(F.broadcast(rules), "_esqueleto")
+    else:
+        ruled = join_with_heavy(marked, cut(rules), "_esqueleto", heavy_keys(marked, "_esqueleto", size["rows"]))
+    cutout = ruled.select(*named, "_simple", "_tramos", F.regexp_extract_all("_campo", F.lit(PIECE), F.lit(0)).alias("_piezas"))
+    raw = F.transform("_tramos", lambda t: F.array_join(F.slice("_piezas", t["b"], t["n"]), ""))
     # an unwrapped single-quoted value keeps its quotes: there an apostrophe is a letter
-    keeps = lambda x: F.when(F.col("_esqueleto").rlike("^.?'"), _unquoted(x)).when(trimmed(x).startswith('"'), _unquoted(x)).otherwise(trimmed(x))
-    values = F.filter(F.transform(F.regexp_extract_all(body, F.col("_patron"), F.lit(0)), keeps), lambda x: x != "")
-    split = marked.join(F.broadcast(rules), "_esqueleto").select(*[F.col(f"`{c}`") for c in keep], F.posexplode(values).alias("_p", "valor"))
+    keeps = lambda x: F.when(F.col("_simple"), _unquoted(x)).when(trimmed(x).startswith('"'), _unquoted(x)).otherwise(trimmed(x))
+    values = F.filter(F.transform(raw, keeps), lambda x: x != "")
+    split = cutout.select(*named, F.posexplode(values).alias("_p", "valor"))
     return split.withColumn("posicion", (F.col("_p") + 1).cast("int")).drop("_p")

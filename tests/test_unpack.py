@@ -4,8 +4,10 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quipu.operators.unpack import splitting_rule, unpack
+import quipu.operators.unpack as unpack_module
+from quipu.operators.unpack import PIECE, skeleton, splitting_rule, trimmed, unpack
 from tests.conftest import rows
 
 CASES = {
@@ -72,20 +74,32 @@ def test_generated_round_trip(spark):
     assert rows(got.select("id", "posicion", "valor")) == sorted(want, key=repr)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=",;|/-\n\t\"'x{[", max_size=8))
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=",;|/-\n\t\"'x{[}]\\ •", max_size=12))
 def test_every_skeleton_has_a_rule(s):
-    import re
+    _, spans = splitting_rule(s)
+    at = 1
+    for begin, many in spans:  # in order, without overlap, inside the text
+        assert begin >= at and many > 0
+        at = begin + many
+    assert at <= len(s) + 1
 
-    pattern, _ = splitting_rule("[\"'x" + "".join(dict.fromkeys(c for c in s if c in ",;|/-\n\t")))
-    re.compile(pattern)
 
-
-@pytest.mark.parametrize("marks", [",", "/", "-", ",/-"])
+@pytest.mark.parametrize("marks", [",", "/", "-", "•"])
 def test_rule_splits_at_its_marks(marks):
-    import re
+    text = f"x {marks} x"
+    single, spans = splitting_rule(text)
+    assert not single and [text[b - 1 : b - 1 + n].strip() for b, n in spans] == ["x", "x"]
+
+
+def test_skeletons_have_a_character_a_piece(spark):
+    data = [(t,) for t in [*CASES, "señal 🙂x, “y”\u00a0z", "a\r\n b\\n", "日本、x"] if t.strip()]
+    df = spark.createDataFrame(data, "f string").select(skeleton(F.col("f")).alias("s"), F.regexp_extract_all(trimmed(F.col("f")), F.lit(PIECE), F.lit(0)).alias("p"))
+    for r in df.collect():
+        assert len(r["s"]) == len(r["p"]), r
+
 
-    pattern, wrapped = splitting_rule("x" + marks)
-    assert not wrapped
-    parts = [m.strip() for m in re.findall(pattern, f"a {marks[0]} b") if m.strip()]
-    assert parts == ["a", "b"]
+def test_many_rules_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(unpack_module, "BROADCAST_CHARS", 10)
+    test_cases(spark)
+    test_generated_round_trip(spark)
