@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quipu.llm.leaks import _tiles, leaks, words
 from tests.conftest import rows
 
@@ -59,6 +61,33 @@ def test_tiles_do_not_overlap():
     assert _tiles(p, q, 3) == [(0, 0, 6)]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_are_disjoint_and_miss_no_free_window(seed):
+    r = random.Random(seed)
+    x, y = ([r.randrange(2 + seed % 5) for _ in range(r.randint(3, 60))] for _ in range(2))
+    same = [(i, j) for i in range(len(x) - 2) for j in range(len(y) - 2) if x[i : i + 3] == y[j : j + 3]]
+    if not same:
+        return
+    p, q = map(np.array, zip(*same))
+    tiles = _tiles(p, q, 3)
+    ours, theirs = [a + k for a, _, n in tiles for k in range(n)], [b + k for _, b, n in tiles for k in range(n)]
+    assert len(set(ours)) == len(ours) and len(set(theirs)) == len(theirs)
+    assert all(x[a : a + n] == y[b : b + n] and n >= 3 for a, b, n in tiles)
+    assert not [(i, j) for i, j in same if not {i, i + 1, i + 2} & set(ours) and not {j, j + 1, j + 2} & set(theirs)]
+    assert max(n for *_, n in tiles) == max(k for i in range(len(x)) for j in range(len(y)) for k in range(3, 61) if x[i : i + k] == y[j : j + k] and i + k <= len(x) and j + k <= len(y))
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    vocabulary = [f"v{i}" for i in range(200)]
+    r = random.Random(9)
+    line = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    hot = line(30)
+    items = [(k, hot) for k in range(5)] + [(10 + k, line(20)) for k in range(20)] + [(3, items_ := line(25))]
+    docs = [(d, line(20) + (" " + hot if d % 3 == 0 else "") + (" " + items_ if d % 50 == 0 else "")) for d in range(1500)]
+    got = leaks(spark.createDataFrame(docs, "_id bigint, _text string"), spark.createDataFrame(items, "_item bigint, _passage string"))
+    assert sorted(map(tuple, got.select("_id", "_item").collect())) == sorted(set(brute(docs, items, 12)))
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "_id bigint, _text string"), spark.createDataFrame([], "_item bigint, _passage string")
     assert leaks(d, i).count() == 0
