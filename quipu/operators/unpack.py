@@ -72,8 +72,8 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"_esqueleto": b["_esqueleto"], "_simple": [g[0] for g in got], "_tramos": spans})
 
 
-def _unquoted(raw: Column) -> Column:
-    v = trimmed(raw)
+def _unquoted(v: Column) -> Column:
+    """A trimmed value without its quotes."""
     inner = F.substring(v, F.lit(2), F.length(v) - 2)
     is_double = F.length(v).__ge__(2) & v.startswith('"') & v.endswith('"')
     is_single = F.length(v).__ge__(2) & v.startswith("'") & v.endswith("'")
@@ -82,7 +82,7 @@ def _unquoted(raw: Column) -> Column:
     by_json = F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0))
     double = F.when(backslash, F.coalesce(by_json, simple(inner))).otherwise(F.replace(inner, F.lit('""'), F.lit('"')))
     single = F.when(backslash, simple(inner)).otherwise(F.replace(inner, F.lit("''"), F.lit("'")))
-    return trimmed(F.when(is_double, double).when(is_single, single).otherwise(v))
+    return F.when(is_double, trimmed(double)).when(is_single, trimmed(single)).otherwise(v)
 
 
 def unpack(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -108,9 +108,9 @@ def unpack(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
     else:
         ruled = join_with_heavy(marked, cut(rules), "_esqueleto", heavy_keys(marked, "_esqueleto", size["rows"]))
     cutout = ruled.select(*named, "_simple", "_tramos", F.regexp_extract_all("_campo", F.lit(PIECE), F.lit(0)).alias("_piezas"))
-    raw = F.transform("_tramos", lambda t: F.array_join(F.slice("_piezas", t["b"], t["n"]), ""))
+    raw = F.transform(F.transform("_tramos", lambda t: F.array_join(F.slice("_piezas", t["b"], t["n"]), "")), trimmed)
     # an unwrapped single-quoted value keeps its quotes: there an apostrophe is a letter
-    keeps = lambda x: F.when(F.col("_simple"), _unquoted(x)).when(trimmed(x).startswith('"'), _unquoted(x)).otherwise(trimmed(x))
+    keeps = lambda x: F.when(F.col("_simple") | x.startswith('"'), _unquoted(x)).otherwise(x)
     values = F.filter(F.transform(raw, keeps), lambda x: x != "")
     split = cutout.select(*named, F.posexplode(values).alias("_p", "valor"))
     return split.withColumn("posicion", (F.col("_p") + 1).cast("int")).drop("_p")

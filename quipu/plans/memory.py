@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from quipu.functions import score as S
 from quipu.functions import text as T
 from quipu.operators import graph as G
-from quipu.operators.cut import cut
+from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
@@ -28,8 +27,7 @@ _DF = 50  # of the SQL only: the queries keep the words that more names than thi
 
 
 def _place(v: Views) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quipu-sink-")
-    return f"{base}/sink-{uuid.uuid4().hex}"
+    return f"{shared_folder(v.spark)}/sink-{uuid.uuid4().hex}"
 
 
 @C.add("sk10_json_export", "SELECT categoria, count(*) AS n, round(sum(peso), 6) AS peso FROM nodes WHERE categoria IS NOT NULL GROUP BY 1", "nodes")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quipu.operators.cut import shared_folder
 from quipu.operators.lifecycle import reinforce_one
 
 
@@ -83,8 +83,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None =
     """What the stream gives for all that its source holds now, read back from files in the shared
     folder (spark.checkpoint.dir). With keys, only the last row per key of each batch is written."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quipu-stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     if keys:
         writer.foreachBatch(upsert_batch(f"{out}/rows", keys, order)).start().awaitTermination()
