@@ -78,7 +78,7 @@ class FMIndex:
         inner = np.ones(len(raw), bool)
         inner[ends] = False
         alphabet = np.unique(raw[inner])
-        self.codes = np.zeros(len(raw), np.int64)
+        self.codes = np.zeros(len(raw), np.uint8 if len(alphabet) < 255 else np.uint16 if len(alphabet) < 65535 else np.uint32)
         self.codes[inner] = np.searchsorted(alphabet, raw[inner]) + 1
         bits = max(1, int(len(alphabet)).bit_length())
         order = suffix_order(self.codes, depth, bits)
@@ -93,11 +93,18 @@ class FMIndex:
         change[1:n] = np.where(documents[owner[1:]] != documents[owner[:-1]], rows[1:], n)
         change = np.minimum.accumulate(change[::-1])[::-1]
         many = np.minimum.accumulate(np.where(several[owner], rows, n)[::-1])[::-1]
-        self.second = np.minimum(change[1:], many)
+        self.second = np.minimum(change[1:], many).astype(np.int32 if n < 1 << 31 else np.int64)
 
     def shared_windows(self, size: int, segment: int = 3000) -> tuple[np.ndarray, np.ndarray]:
         """(text, begin) of windows of `size` characters that a second document holds. Together
-        they cover every character that lies in any such window, and no other.
+        they cover every character that lies in any such window, and no other."""
+        text, end, length = self.matching_statistics(size, segment)
+        whole = length == size
+        return text[whole], end[whole] - size
+
+    def matching_statistics(self, size: int, segment: int = 3000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, end, length): the longest match before `end` that a second document holds, up to `size`
+        characters, at as many ends as decide for every character whether it lies in a match of `size`.
 
         Each text is streamed against the index: a window is read backwards from its end as
         long as a second document has what was read. Where that stops, no window over
@@ -112,12 +119,12 @@ class FMIndex:
         n, total = len(x), len(self.codes)
         at, low, high = x + size - 1, np.zeros(n, np.int64), np.full(n, total, np.int64)
         good, bad, behind = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        found_text, found_begin = [], []
+        found_text, found_end, found_length = [], [], []
         state = [text, x, stop, at, low, high, good, bad, behind]
         while len(state[0]):
             text, x, stop, at, low, high, good, bad, behind = state
             m = len(x)
-            c = self.codes[at]
+            c = self.codes[at].astype(np.int64)
             both = self.matrix.rank(np.concatenate([c, c]), np.concatenate([low, high])) + np.tile(self.before[c], 2)
             low, high = both[:m], both[m:]
             shared = (high > low) & (self.second[np.minimum(low, total - 1)] < high)
@@ -128,8 +135,9 @@ class FMIndex:
             if len(turn):
                 d, xs, g, b, t = done[turn], x[turn], good[turn], bad[turn], behind[turn]
                 here = at[turn] + 2  # behind the place where reading stopped
-                found_text.append(text[turn][d])
-                found_begin.append(xs[d])
+                found_text.append(text[turn])
+                found_end.append(xs + size)
+                found_length.append(np.where(d, size, xs + size - here))
                 g2 = np.where(d, xs, g)
                 b2 = np.where(d, b, np.where(g >= 0, xs, -1))
                 t2 = np.where(d, t, here)
@@ -145,9 +153,9 @@ class FMIndex:
             if len(turn) and (gone := x >= stop).any():
                 state = [s[~gone] for s in state]
         if not found_text:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        text, begin = np.concatenate(found_text), np.concatenate(found_begin)
-        return text, begin - self.begin[text]
+            return (np.empty(0, np.int64),) * 3
+        text, end, length = map(np.concatenate, (found_text, found_end, found_length))
+        return text, end - self.begin[text], length
 
 
 def united(begin: np.ndarray, size: int) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ shard decides."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from quipu.llm.fm_index import FMIndex, united
 from quipu.operators.cut import cut
-from quipu.operators.skew import heavy_keys, join_with_heavy, spread
+from quipu.operators.skew import heavy_keys, join_checked, join_with_heavy, spread
 
-#: Characters of a shard's index aimed at; of a group that still may go to one index; anchors that may share a label.
-SHARD_CHARS, MOST_CHARS, LABEL_ANCHORS = 1_000_000, 4_000_000, 10_000
+#: Characters of a shard's index aimed at, and of different text that one group may have: it goes to one index.
+SHARD_CHARS, MOST_CHARS = 1_000_000, 4_000_000
 #: Characters hashed at a time in a task.
 STRETCH = 1 << 17
 
@@ -34,12 +35,12 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def rolling(codes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def rolling(codes: np.ndarray, width: int) -> np.ndarray:
     """64-bit numbers of all windows of `width` (a power of two) codes."""
     with np.errstate(over="ignore"):
         h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        b, have = np.uint64(base), 1
+        b, have = np.uint64(0x9E3779B97F4A7C15), 1
         while have < width:
             h = h[:-have] * b + h[have:]
             b, have = b * b, 2 * have
@@ -89,8 +90,9 @@ def _anchors(least: int):
 
 def _labelled(anchors: DataFrame, least: int) -> DataFrame:
     """_id, _p, _run, _h, _l: anchors of one stretch of a text make a run, and anchors that share runs
-    get one label, as far as three rounds carry it. Labels of too many anchors fall apart to the
-    anchors' own numbers (_own). The label depends on _h alone, so equal anchors share it."""
+    get one label, as far as three rounds carry it. Labels of so many anchors that their text might exceed MOST_CHARS fall
+    apart to the anchors' own numbers (_own). The label depends on _h alone, so equal anchors share it."""
+    most = MOST_CHARS // (4 * least)  # an anchor brings less than 2 * least characters, and so does the end of a run
     by_text = Window.partitionBy("_id").orderBy("_p")
     new = F.col("_p") - F.lag("_p").over(by_text) > 2 * least - anchor_width(least)
     runs = anchors.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by_text)).drop("_new")
@@ -101,7 +103,7 @@ def _labelled(anchors: DataFrame, least: int) -> DataFrame:
         labels = cut(now.withColumn("_l", least_of_run).groupBy("_h").agg(F.min("_l").alias("_l"), F.count(F.lit(1)).alias("_n")).select("_h", "_l", "_n"))
         kept, labels = labels, labels.select("_h", "_l")
     sizes = kept.groupBy("_l").agg(F.sum("_n").alias("_all"))
-    final = kept.join(sizes, "_l").select("_h", F.when(F.col("_all") <= LABEL_ANCHORS, F.col("_l")).otherwise(F.col("_h")).alias("_l"), (F.col("_all") > LABEL_ANCHORS).alias("_own"))
+    final = kept.join(sizes, "_l").select("_h", F.when(F.col("_all") <= most, F.col("_l")).otherwise(F.col("_h")).alias("_l"), (F.col("_all") > most).alias("_own"))
     return join_with_heavy(runs, final, "_h", heavy_keys(runs, "_h", _count(anchors)))
 
 
@@ -109,18 +111,23 @@ def _count(rows: DataFrame) -> int:
     return rows.count()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _pieces(width: int):
+    """Rows (_id, _b, _l, _c, _t, _x, _y): a piece's place, label, name and text, and where its (first) anchor lies in it."""
 
-    for b in batches:
-        out = []
-        for i, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            for p in places:
-                piece = text[p["_b"] : p["_e"]]
-                out.append((i, p["_b"], p["_l"], xxhash.xxh3_128_hexdigest(piece.encode("utf-8")), piece))
-        if out:
-            ids, begins, labels, names, pieces = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(labels, pa.int64()), pa.array(names), pa.array(pieces, pa.string())], ["_id", "_b", "_l", "_c", "_t"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            out = []
+            for i, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for p in places:
+                    piece = text[p["_b"] : p["_e"]]
+                    out.append((i, p["_b"], p["_l"], xxhash.xxh3_128_hexdigest(piece.encode("utf-8")), piece, p["_x"], p["_x"] + width))
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_id", "_b", "_l", "_c", "_t", "_x", "_y"])
+
+    return run
 
 
 def _in_shard(least: int):
@@ -145,28 +152,57 @@ def _in_shard(least: int):
     return run
 
 
-def _window_numbers(least: int):
-    """All windows of a text by two numbers; for groups of texts that are too large for one index."""
-
-    def number(codes: np.ndarray, base: int) -> np.ndarray:
-        width = 1 << (least.bit_length() - 1)
-        h = rolling(codes, width, base)  # two overlapping windows make one of `least`
-        with np.errstate(over="ignore"):
-            return (h[: len(codes) - least + 1] * np.uint64(0xD6E8FEB86659FD93)) ^ h[least - width :][: len(codes) - least + 1]
+def _longer(least: int):
+    """Pieces of a group that is too large, regrouped: every window of `least` characters around the anchor goes on over half of what
+    is missing on its left or on its right, so each piece is cut to these two cases, and the text they add names
+    the new groups. _x, _y: the anchor's place in the piece; _s: the piece's place in the one it came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            for label, name, text, lo, hi in zip(*(b.column(k).to_pylist() for k in range(5))):
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                n = len(codes) - least + 1
-                if n < 1:
-                    continue
-                cols = [np.full(n, label, np.int64), number(codes, 0x9E3779B97F4A7C15).view(np.int64), number(codes, 0xC2B2AE3D27D4EB4F).view(np.int64), np.arange(n, dtype=np.int64), np.full(n, lo, np.int64), np.full(n, hi, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array([name] * n), *map(pa.array, cols[1:])], ["_l", "_c", "_w1", "_w2", "_x", "_lo", "_hi"])
+            out = []
+            for key, shift, group, text, x, y, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+                more = -(-(least - (y - x)) // 2)
+                for side, u, v in (("<", x - more, y), (">", x, y + more)):
+                    if u < 0 or v > len(text):
+                        continue
+                    begin, end = max(0, v - least), min(len(text), u + least)
+                    if end - begin < least:
+                        continue
+                    added = text[u:x] if side == "<" else text[y:v]
+                    piece = text[begin:end]
+                    name = xxhash.xxh64_intdigest(f"{group}{side}{added}") - (1 << 63)
+                    out.append((key, shift + begin, name, xxhash.xxh3_128_hexdigest(piece), piece, u - begin, v - begin, lo, hi))
+            if out:
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_k", "_s", "_l", "_c", "_t", "_x", "_y", "_lo", "_hi"])
 
     return run
 
 
+def _groups(pieces: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Texts to be indexed (_l, _c, _t, _lo, _hi), at most MOST_CHARS a group _l; and where each lies in the pieces' classes:
+    _k (of the class), _s (place in it), _l, _c.
+
+    Groups around one anchor that are too large are regrouped by a longer one, as often as needed: an anchor
+    of `least` characters has only one text around it."""
+    columns = ["_k", "_s", "_l", "_c", "_t", "_x", "_y", "_lo", "_hi"]
+    classes = pieces.groupBy("_l", "_c").agg(F.min("_t").alias("_t"), F.min("_x").alias("_x"), F.min("_y").alias("_y"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    rows = cut(classes.select(F.concat_ws("-", "_l", "_c").alias("_k"), F.lit(0).cast("bigint").alias("_s"), "_l", "_c", "_t", "_x", "_y", "_lo", "_hi"))
+    texts, places = [], []
+    while True:
+        once = rows.groupBy("_l", "_c").agg(F.min("_t").alias("_t"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")) if texts else rows.select("_l", "_c", "_t", "_lo", "_hi")
+        large = cut(once.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n")).where(F.col("_n") > MOST_CHARS).select("_l"))
+        texts.append(join_checked(once, large, "_l", "left_anti"))
+        places.append(join_checked(rows, large, "_l", "left_anti").select("_k", "_s", "_l", "_c"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, texts), reduce(DataFrame.unionByName, places)
+        big = join_checked(rows, large, "_l", "left_semi").select("_k", "_s", "_l", "_t", "_x", "_y", "_lo", "_hi")
+        kinds = "_k string, _s bigint, _l bigint, _c string, _t string, _x bigint, _y bigint, _lo bigint, _hi bigint"
+        rows = cut(big.repartition(F.xxhash64("_k", "_s")).mapInArrow(_longer(least), kinds).select(columns))
+
+
 def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     """Maximal runs of characters that lie in `least` characters that another document holds too.
 
@@ -178,10 +214,9 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     2. Anchors that share runs of text get one label; a run goes once to each label it has. Copies of a
        piece become one text with the least and greatest document that has it, before anything is gathered.
     3. Labels are hashed into shards of about SHARD_CHARS characters, a partition each, which builds an FM-index
-       of its texts, and the texts are streamed against it backwards.
-    A label of more than LABEL_ANCHORS anchors is split by anchor, with the least text around each.
-    If one anchor alone has more than MOST_CHARS of different text around it, its windows are
-    counted by number instead, spread over all tasks.
+       of its texts, and the texts are streamed against it backwards, for matching statistics up to `least`.
+    A label of so many anchors that its text might exceed MOST_CHARS is split by anchor, with the least text around each, and one
+    anchor that has more different text around it by longer anchors (see _groups). The index decides in every case.
     """
     spark = documents.sparkSession
     rows = documents.where("_id is not null and _text is not null").select("_id", "_text")
@@ -190,32 +225,27 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     anchors = cut(join_with_heavy(every, shared, "_h", heavy_keys(every, "_h", every.count())).distinct())
     marked = _labelled(anchors, least)
 
-    before = least - anchor_width(least)
+    width = anchor_width(least)
     whole = marked.where("not _own").groupBy("_id", "_run", "_l", "_own")
     bounds = marked.groupBy("_id", "_run").agg(F.min("_p").alias("_f"), F.max("_p").alias("_g"))
     runs = whole.agg(F.count(F.lit(1))).join(bounds, ["_id", "_run"]).select("_id", "_f", "_g", "_l")
     alone = marked.where("_own").select("_id", F.col("_p").alias("_f"), F.col("_p").alias("_g"), "_l")
-    places = runs.unionByName(alone).select("_id", F.struct(F.greatest(F.lit(0), F.col("_f") - before).alias("_b"), (F.col("_g") + least).alias("_e"), "_l").alias("_s"))
+    first = F.greatest(F.lit(0), F.col("_f") - (least - width))
+    places = runs.unionByName(alone).select("_id", F.struct(first.alias("_b"), (F.col("_g") + least).alias("_e"), "_l", (F.col("_f") - first).alias("_x")).alias("_s"))
     wanted = places.groupBy("_id").agg(F.collect_list("_s").alias("_s"))
-    pieces = cut(rows.join(wanted, "_id").select("_id", "_text", "_s").mapInArrow(_pieces, "_id bigint, _b bigint, _l bigint, _c string, _t string"))
+    pieces = cut(rows.join(wanted, "_id").select("_id", "_text", "_s").mapInArrow(_pieces(width), "_id bigint, _b bigint, _l bigint, _c string, _t string, _x bigint, _y bigint"))
 
-    texts = pieces.groupBy("_l", "_c").agg(F.min("_t").alias("_t"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    texts, classes = _groups(pieces, least)
     texts = cut(texts)
-    sizes = texts.groupBy("_l").agg(F.sum(F.length("_t")).alias("_n"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    total = texts.agg(F.sum(F.length("_t"))).first()[0] or 0
     if not total:
         return spark.createDataFrame([], "_id bigint, inicio bigint, fin bigint")
-    big = sizes.where(F.col("_n") > MOST_CHARS).select("_l")
     shards = max(1, -(-total // SHARD_CHARS))
-    normal = spread(texts.join(big, "_l", "left_anti"), "_l", parts=shards)
-    covered = normal.mapInPandas(_in_shard(least), "_l bigint, _c string, _x bigint, _y bigint")
-
-    windows = spread(texts.join(big, "_l", "left_semi").select("_l", "_c", "_t", "_lo", "_hi"), "_l", "_c").mapInArrow(_window_numbers(least), "_l bigint, _c string, _w1 bigint, _w2 bigint, _x bigint, _lo bigint, _hi bigint")
-    twice = windows.groupBy("_l", "_w1", "_w2").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo < _hi").select("_l", "_w1", "_w2")
-    counted = windows.join(twice, ["_l", "_w1", "_w2"]).select("_l", "_c", "_x", (F.col("_x") + least).alias("_y"))
+    covered = spread(texts, "_l", parts=shards).mapInPandas(_in_shard(least), "_l bigint, _c string, _x bigint, _y bigint")
 
     # a third of all rows may be copies of one piece: its ranges are joined where the rows lie
-    held = covered.unionByName(counted).groupBy("_l", "_c").agg(F.collect_list(F.struct("_x", "_y")).alias("_r")).select(F.concat_ws("-", "_l", "_c").alias("_k"), "_r")
+    ranges = F.collect_list(F.struct((F.col("_s") + F.col("_x")).alias("_x"), (F.col("_s") + F.col("_y")).alias("_y")))
+    held = cut(covered.join(classes, ["_l", "_c"]).groupBy("_k").agg(ranges.alias("_r")))
     named = pieces.select("_id", "_b", F.concat_ws("-", "_l", "_c").alias("_k"))
     found = join_with_heavy(named, held, "_k", heavy_keys(named, "_k", pieces.count()))
     ranges = found.select("_id", "_b", F.explode("_r").alias("_s")).select("_id", (F.col("_b") + F.col("_s._x")).alias("_x"), (F.col("_b") + F.col("_s._y")).alias("_y")).distinct()

@@ -47,6 +47,18 @@ def test_index_against_brute_force(seed):
     assert got == brute(list(enumerate(texts)), size)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_matching_statistics(seed):
+    """Each length given out is that of the longest match before its end that another text holds, up to the size."""
+    r = random.Random(seed)
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(5, 60))) for _ in range(4)]
+    text, end, length = FMIndex(texts, np.arange(4), np.zeros(4, bool), 6).matching_statistics(6)
+    assert len(text)
+    for k, e, n in zip(text.tolist(), end.tolist(), length.tolist()):
+        longest = max(m for m in range(7) if m <= e and (not m or any(texts[k][e - m : e] in t for j, t in enumerate(texts) if j != k)))
+        assert n == longest
+
+
 def corpus():
     r = random.Random(11)
     line = lambda n: "".join(r.choice("abcdefghij áé\n🙂") for _ in range(n))
@@ -58,10 +70,9 @@ def corpus():
     return docs + docs[:3]  # three rows come twice
 
 
-@pytest.mark.parametrize(("anchors", "chars"), [(10_000, 4_000_000), (3, 4_000_000), (3, 2_000)])
-def test_operator_against_brute_force(spark, monkeypatch, anchors, chars):
-    """As a rule, with labels split by anchor, and with groups too large for one index."""
-    monkeypatch.setattr(spans, "LABEL_ANCHORS", anchors)
+@pytest.mark.parametrize("chars", [4_000_000, 20_000, 2_000, 700])
+def test_operator_against_brute_force(spark, monkeypatch, chars):
+    """As a rule, with labels split by anchor, and with groups that are cut by longer anchors."""
     monkeypatch.setattr(spans, "MOST_CHARS", chars)
     monkeypatch.setattr(spans, "SHARD_CHARS", 20_000)
     docs = corpus()
