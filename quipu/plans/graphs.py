@@ -224,7 +224,7 @@ def _(v: Views) -> DataFrame:
     r"""WITH t AS (SELECT concepto, list_distinct(list_filter(string_split(concepto, '_'), lambda x: length(x) >= 4)) AS w FROM nodes WHERE estado = 'activo'),
 df AS (SELECT p, count(*) AS n FROM (SELECT unnest(w) AS p FROM t) GROUP BY 1), x AS (SELECT concepto, unnest(w) AS p FROM t)
 SELECT a.concepto AS origen, b.concepto AS destino, round(count(*) / CAST(least(len(ta.w), len(tb.w)) AS DOUBLE), 6) AS peso FROM x a JOIN x b ON a.p = b.p AND a.concepto < b.concepto JOIN df ON df.p = a.p JOIN t ta ON ta.concepto = a.concepto JOIN t tb ON tb.concepto = b.concepto
-WHERE df.n <= 50 GROUP BY 1, 2, ta.w, tb.w HAVING count(*) / CAST(least(len(ta.w), len(tb.w)) AS DOUBLE) >= 0.3""",
+GROUP BY 1, 2, ta.w, tb.w HAVING count(*) / CAST(least(len(ta.w), len(tb.w)) AS DOUBLE) >= 0.3""",
     "nodes",
 )
 def _(v: Views) -> DataFrame:

@@ -20,7 +20,6 @@ from quipu.plans.views import Catalogue, Views
 
 C = Catalogue()
 QUERIES, SQL = C.queries, C.sql
-_DF = 50  # of the SQL only: the queries keep the words that more names than this hold
 
 
 # ---- sources and sinks
@@ -149,7 +148,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add(
     "jn17_message_nodes",
-    rf"""WITH w AS (SELECT concepto, unnest(list_distinct(list_filter(string_split(concepto, '_'), lambda x: length(x) >= 4))) AS t FROM nodes), df AS (SELECT t FROM w GROUP BY 1 HAVING count(*) <= {_DF}),
+    rf"""WITH w AS (SELECT concepto, unnest(list_distinct(list_filter(string_split(concepto, '_'), lambda x: length(x) >= 4))) AS t FROM nodes), df AS (SELECT DISTINCT t FROM w),
 m AS (SELECT DISTINCT doc_id, unnest({W('text', 4)}) AS t FROM documents), j AS (SELECT doc_id, concepto, count(*) AS n FROM m JOIN w USING (t) JOIN df USING (t) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT doc_id, concepto, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, concepto) AS r FROM j) WHERE r <= 10""",
     "nodes",
@@ -192,7 +191,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add(
     "se6e_near",
-    rf"""WITH p AS (SELECT concepto, unnest({W('contenido', 3)}) AS t, generate_subscripts({W('contenido', 3)}, 1) AS i FROM nodes), df AS (SELECT t FROM (SELECT DISTINCT concepto, t FROM p) GROUP BY 1 HAVING count(*) <= 0.2 * (SELECT count(*) FROM nodes)),
+    rf"""WITH p AS (SELECT concepto, unnest({W('contenido', 3)}) AS t, generate_subscripts({W('contenido', 3)}, 1) AS i FROM nodes), df AS (SELECT DISTINCT t FROM p),
 q AS (SELECT item_id, unnest({W('consulta', 3)}) AS t, generate_subscripts({W('consulta', 3)}, 1) AS i FROM casos_qa), d AS (SELECT DISTINCT x.item_id, x.t AS a, y.t AS b FROM q x JOIN q y ON y.item_id = x.item_id AND y.i = x.i + 1 WHERE x.t <> y.t)
 SELECT DISTINCT item_id AS consulta, x.concepto FROM d JOIN df ON df.t = a JOIN df e ON e.t = b JOIN p x ON x.t = a JOIN p y ON y.t = b AND y.concepto = x.concepto AND abs(x.i - y.i) <= 15""",
     "nodes",
@@ -209,7 +208,7 @@ def _(v: Views) -> DataFrame:
     return both.where(close).select("a", "b", "concepto").join(F.broadcast(d), ["a", "b"]).select("consulta", "concepto").distinct()
 
 
-@C.add("se6h_prefix_layer", "WITH " + _IDX + ", p AS (SELECT DISTINCT consulta, left(term, 5) AS s FROM q WHERE length(term) >= 5), x AS (SELECT left(term, 5) AS s, concepto, term FROM idx WHERE length(term) >= 5), k AS (SELECT s FROM x GROUP BY 1 HAVING count(DISTINCT concepto) <= 0.2 * (SELECT n FROM st)) SELECT consulta, concepto, count(DISTINCT s) AS prefijos FROM p JOIN k USING (s) JOIN x USING (s) GROUP BY 1, 2", "nodes")
+@C.add("se6h_prefix_layer", "WITH " + _IDX + ", p AS (SELECT DISTINCT consulta, left(term, 5) AS s FROM q WHERE length(term) >= 5), x AS (SELECT left(term, 5) AS s, concepto, term FROM idx WHERE length(term) >= 5), k AS (SELECT DISTINCT s FROM x) SELECT consulta, concepto, count(DISTINCT s) AS prefijos FROM p JOIN k USING (s) JOIN x USING (s) GROUP BY 1, 2", "nodes")
 def _(v: Views) -> DataFrame:
     postings, _ = index(v)
     s = F.substring("term", 1, 5)
@@ -274,7 +273,7 @@ def _(v: Views) -> DataFrame:
     return v.nodes.where(~F.col("estado").isin("activo", "dormido") & (F.contains(c, F.lit("cada")) | F.contains(c, F.lit("each")))).select("concepto", "estado")
 
 
-_NAMES = rf"w AS (SELECT concepto, unnest(list_distinct(list_filter(string_split(concepto, '_'), lambda x: length(x) >= 4))) AS t FROM nodes), df AS (SELECT t FROM w GROUP BY 1 HAVING count(*) <= {_DF})"
+_NAMES = rf"w AS (SELECT concepto, unnest(list_distinct(list_filter(string_split(concepto, '_'), lambda x: length(x) >= 4))) AS t FROM nodes), df AS (SELECT DISTINCT t FROM w)"
 
 
 @C.add("se18_familiarity", f"WITH {_NAMES} SELECT DISTINCT item_id, concepto FROM (SELECT item_id, unnest({W('consulta', 4)}) AS t FROM casos_qa) q JOIN df USING (t) JOIN w USING (t)", "nodes")
@@ -286,7 +285,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add(
     "se19_related_older",
-    rf"""WITH t AS (SELECT concepto, creado_en, unnest(list_distinct({W('contenido', 4)})) AS t FROM nodes), n AS (SELECT concepto, count(*) AS n FROM t GROUP BY 1), df AS (SELECT t FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND {_DF}),
+    rf"""WITH t AS (SELECT concepto, creado_en, unnest(list_distinct({W('contenido', 4)})) AS t FROM nodes), n AS (SELECT concepto, count(*) AS n FROM t GROUP BY 1), df AS (SELECT t FROM t GROUP BY 1 HAVING count(*) >= 2),
 j AS (SELECT x.concepto, y.concepto AS viejo, count(*) AS c FROM t x JOIN df USING (t) JOIN t y USING (t) WHERE y.creado_en < x.creado_en GROUP BY 1, 2), s AS (SELECT j.*, c / CAST(a.n + b.n - c AS DOUBLE) AS s FROM j JOIN n a USING (concepto) JOIN n b ON b.concepto = viejo)
 SELECT concepto, viejo, round(s, 6) AS similitud FROM (SELECT *, row_number() OVER (PARTITION BY concepto ORDER BY s DESC, viejo) AS r FROM s WHERE s >= 0.05) WHERE r <= 3""",
     "nodes",

@@ -22,7 +22,7 @@ idx AS (SELECT concepto, term, sum(w) AS tf FROM (
   UNION ALL SELECT concepto, unnest({W('contenido', 3)}), 1.0 FROM act UNION ALL SELECT concepto, unnest({W('sinonimos', 3)}), 2.0 FROM act) GROUP BY 1, 2),
 dl AS (SELECT concepto, len({W("replace(concepto, '_', ' ')", 3)}) + len({W('contenido', 3)}) + len({W('sinonimos', 3)}) AS dl FROM act),
 st AS (SELECT count(*) AS n, avg(dl) AS m FROM dl),
-dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY 1 HAVING count(*) <= 0.2 * (SELECT n FROM st)),
+dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
 q AS (SELECT DISTINCT item_id AS consulta, unnest({W('consulta', 3)}) AS term FROM casos_qa),
 hits AS (SELECT consulta, concepto, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / m))), 6) AS bm25, count(*) AS terminos
   FROM q JOIN dfs USING (term) JOIN idx USING (term) JOIN dl USING (concepto), st GROUP BY 1, 2)"""

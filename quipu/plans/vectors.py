@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quipu.functions import score as S
 from quipu.functions import text as T
-from quipu.functions.stem import stem
+from quipu.functions.stem import with_stems
 from quipu.operators import calibration as K
 from quipu.operators import distribution as D
 from quipu.operators.graph import first_per
@@ -270,7 +270,7 @@ def _(v: Views) -> DataFrame:
     """Jaccard of the stems of a query and of the content expected for it."""
     side = lambda c, n: pairs(v).select("item_id", F.explode(F.array_distinct(T.words(c, 3))).alias("w"), F.lit(n).alias("lado"))
     tokens = side("consulta", 1).unionByName(side("contenido", 2))
-    stems = tokens.withColumn("s", stem("w")).groupBy("item_id", "s").agg(F.min("lado").alias("a"), F.max("lado").alias("b"))
+    stems = with_stems(tokens, "w", "s").groupBy("item_id", "s").agg(F.min("lado").alias("a"), F.max("lado").alias("b"))
     return stems.groupBy("item_id").agg(F.round(F.count_if(F.col("a") != F.col("b")) / F.count(F.lit(1)), 6).alias("s"))
 
 

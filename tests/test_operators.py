@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quipu.functions import score as S
 from quipu.functions import text as T
-from quipu.functions.stem import stem_word
+from quipu.functions.stem import english, spanish, stem_word, with_stems
 from quipu.operators import calibration as K
 from quipu.operators import distribution as D
 from quipu.operators import graph as G
@@ -166,6 +166,20 @@ def test_reinforcement_in_order(spark):
     assert L.reinforce(ev.limit(0)).count() == 0
 
 
+def test_stems_of_the_published_vocabularies():
+    """Words with the stems that the algorithms' published samples give (without accents)."""
+    ours = {"consigned": "consign", "knackeries": "knackeri", "generously": "generous", "happily": "happili", "relational": "relat", "hopping": "hop", "hoping": "hope", "skies": "sky", "succeed": "succeed"}
+    assert {w: english(w) for w in ours} == ours
+    theirs = {"chicas": "chic", "torneos": "torne", "cheques": "chequ", "chimenea": "chimene", "toreros": "torer", "rapidamente": "rapid", "velocidad": "veloc", "biologia": "biolog", "sigue": "sig"}
+    assert {w: spanish(w) for w in theirs} == theirs
+
+
+def test_stems_are_joined_back(spark):
+    df = spark.createDataFrame([("configurar", 1), ("configurar", 2), (None, 3), ("memories", 4)], "w string, _w int")
+    got = {r["_w"]: r["s"] for r in with_stems(df.withColumnRenamed("_w", "n"), "w", "s").withColumnRenamed("n", "_w").collect()}
+    assert got == {1: "configur", 2: "configur", 3: None, 4: "memori"}
+
+
 def test_stems_meet():
     assert stem_word("configurado") == stem_word("configurar")
     assert stem_word("sol") == "sol"
