@@ -6,9 +6,11 @@ import math
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.running import running_before
+
 #: Scores are counted in this many steps of their range, so what the driver fits is bounded.
 STEPS = 2000
 
@@ -21,17 +23,16 @@ def conformal_threshold(scores: DataFrame, alpha: float = 0.1) -> DataFrame:
         return scores.sparkSession.createDataFrame([], "umbral double, n bigint")
     a = max(alpha, 1 / (n + 1))
     k = min(n, math.ceil((n + 1) * (1 - a) - 1e-9))
-    # from the smaller end: the limit sorts in the tasks first
-    end = scores.orderBy(F.desc("score")).limit(n - k + 1) if n - k < k else scores.orderBy("score").limit(k)
-    return end.agg((F.min("score") if n - k < k else F.max("score")).alias("umbral")).withColumn("n", F.lit(n).cast("bigint"))
+    per = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_before(per, [], [F.asc("score")], F.col("c"), "antes")
+    return ranked.where((F.col("antes") < k) & (F.col("antes") + F.col("c") >= k)).select(F.col("score").alias("umbral"), F.lit(n).cast("bigint").alias("n"))
 
 
 def auc(rows: DataFrame) -> DataFrame:
     """rows: score, positivo. One row: auc by ranks with ties halved, over counts per score; null if one
     of the two kinds is missing."""
     per = rows.groupBy("score").agg(F.count_if("positivo").alias("p"), F.count_if(~F.col("positivo")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    return running_before(per, [], [F.asc("score")], F.col("n"), "below").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
 def _binned(rows: DataFrame) -> np.ndarray:

@@ -96,11 +96,33 @@ def expand_context(und: DataFrame, hits: DataFrame, depth: int = 1, per_parent:
     return seen.where("nivel > 0")
 
 
+def inferred_edges(edges: DataFrame, decay: float = 0.7, floor: float = 0.25, least: float = 0.05, keep: int = 20) -> DataFrame:
+    """Inferred edges over all paths of two steps: origen, destino, peso. Edges of `floor` or more are walked; a path
+    weighs the product of its edges times decay per edge, `least` at least. Of a pair the heaviest path counts, pairs with a
+    direct edge are left out, and each origin keeps the `keep` heaviest (ties to the least name).
+
+    Exact without walking every path through a hub: of the edges out of a middle node, in the order of the
+    result, an origin of g direct edges needs the first keep + g + 1 only, since at most g + 1 of them are left out. The edges of
+    a node are laid in boxes by the logarithm of their rank, and an origin meets the boxes that it needs.
+    """
+    strong = edges.where(F.col("peso") >= floor).select("origen", "destino", "peso")
+    rank = F.row_number().over(Window.partitionBy("origen").orderBy(F.desc("peso"), F.asc("destino")))
+    box = lambda n: F.floor(F.log2(n)).cast("int")
+    out = strong.withColumn("_r", rank).select(F.col("origen").alias("medio"), F.col("destino").alias("sigue"), F.col("peso").alias("w"), box("_r").alias("_box"))
+    grade = edges.groupBy("origen").agg(F.count(F.lit(1)).alias("_g"))
+    needs = F.explode(F.sequence(F.lit(0), box(F.col("_g") + keep + 1))).alias("_box")
+    first = strong.join(grade, "origen").select("origen", F.col("destino").alias("medio"), "peso", needs)
+    paths = first.join(out, ["medio", "_box"]).where("origen <> sigue").select("origen", F.col("sigue").alias("destino"), (F.col("peso") * decay * F.col("w") * decay).alias("peso"))
+    best = paths.where(F.col("peso") >= least).groupBy("origen", "destino").agg(F.max("peso").alias("peso"))
+    new = best.join(edges.select("origen", "destino"), ["origen", "destino"], "left_anti")
+    return first_per(new, ["origen"], [F.round("peso", 9).desc(), F.asc("destino")], keep).drop("rango")
+
+
 def transitive_edges(edges: DataFrame, hops: int = 2, decay: float = 0.7, floor: float = 0.25, least: float = 0.05, fan: int = 20) -> DataFrame:
     """Inferred edges over paths of 2 to `hops` steps: origen, destino, peso, saltos.
 
     Only edges of `floor` or more are walked, and of each concept the `fan` heaviest: that bounds
-    the paths through a hub by fan**2 per end. A path weighs the product of its edges times decay per
+    the paths through a hub by fan**2 per end (inferred_edges has no such bound, for two steps). A path weighs the product of its edges times decay per
     edge; paths below `least` end. Concepts don't repeat on a path. Of a pair the heaviest path and the
     least number of steps count, pairs with a direct edge are left out, and each origin keeps 20.
     """
@@ -127,14 +149,20 @@ def propagate(scores: DataFrame, und: DataFrame, seeds: int = 10) -> DataFrame:
     return scores.join(sent, ["consulta", "concepto"], "left").withColumn("score", F.col("score") * 0.75 + back * 0.25).drop("s")
 
 
-def label_propagation(und: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(und: DataFrame, rounds: int = 50) -> DataFrame:
     """concepto, grupo by synchronous propagation: every round a concept takes the label of greatest
-    summed weight among its neighbours and itself (weight 1), ties to the least label."""
+    summed weight among its neighbours and itself (weight 1), ties to the least label. It ends when a round
+    changes no label, or gives those of the round before the last again, and after `rounds` rounds at the latest."""
+    und = cut(und)
     labels = und.select(F.col("a").alias("concepto")).distinct().withColumn("grupo", F.col("concepto"))
+    marks: list = []
     for _ in range(rounds):
         votes = und.join(labels.withColumnRenamed("concepto", "b"), "b").groupBy(F.col("a").alias("concepto"), "grupo").agg(F.sum("peso").alias("w"))
         votes = votes.unionByName(labels.withColumn("w", F.lit(1.0))).groupBy("concepto", "grupo").agg(F.round(F.sum("w"), 6).alias("w"))
         labels = cut(first_per(votes, ["concepto"], [F.desc("w"), F.asc("grupo")], 1).select("concepto", "grupo"))
+        marks.append(labels.agg(F.sum(F.xxhash64("concepto", "grupo").cast("decimal(38,0)"))).first()[0])
+        if marks[-1] in marks[-3:-1]:
+            break
     return labels
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
+from quipu.operators.running import running_before
 
 
 def decay_nodes(nodes: DataFrame, categories: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def inhibit(nodes: DataFrame) -> DataFrame:
     """Nodes put to sleep per category: from the weakest on, as long as the summed weight before a node
     is less than the excess over half the allowed number (0.8 of the nodes, ten at least)."""
     allowed = nodes.groupBy("categoria").agg((F.sum("peso") - F.greatest(F.lit(10.0), 0.8 * F.count(F.lit(1))) * 0.5).alias("exceso"))
-    w = Window.partitionBy("categoria").orderBy("peso", F.asc_nulls_first("ultimo_acceso"), "concepto").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.asc("peso"), F.asc_nulls_first("ultimo_acceso"), F.asc("concepto")]
     limit = allowed.select(F.col("categoria").alias("_c"), "exceso")
-    run = nodes.withColumn("antes", F.coalesce(F.sum("peso").over(w), F.lit(0.0))).join(F.broadcast(limit), F.col("categoria").eqNullSafe(F.col("_c")))
+    run = running_before(nodes, ["categoria"], order, F.col("peso"), "antes").join(F.broadcast(limit), F.col("categoria").eqNullSafe(F.col("_c")))
     return run.where(F.round(F.col("exceso") - F.col("antes"), 6) > 0).withColumn("peso", F.greatest(F.lit(0.05), T.half_up(F.col("peso") * 0.9, 2)))
 
 

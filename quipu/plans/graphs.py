@@ -50,7 +50,7 @@ def _(v: Views) -> DataFrame:
     return path.select("semilla", "concepto", F.array_join("camino", ">").alias("camino"))
 
 
-_TRANSITIVE = """st AS (SELECT origen, destino, peso FROM (SELECT *, row_number() OVER (PARTITION BY origen ORDER BY peso DESC, destino) AS r FROM edges WHERE peso >= 0.25) WHERE r <= 20),
+_TRANSITIVE = """st AS (SELECT origen, destino, peso FROM edges WHERE peso >= 0.25),
 p2 AS (SELECT x.origen, y.destino, x.peso * 0.7 * y.peso * 0.7 AS peso FROM st x JOIN st y ON y.origen = x.destino AND y.destino <> x.origen WHERE x.peso * 0.7 * y.peso * 0.7 >= 0.05),
 lat AS (SELECT origen, destino, max(peso) AS peso FROM p2 ANTI JOIN edges USING (origen, destino) GROUP BY 1, 2),
 inf AS (SELECT origen, destino, peso FROM (SELECT *, row_number() OVER (PARTITION BY origen ORDER BY round(peso, 9) DESC, destino) AS r FROM lat) WHERE r <= 20)"""
@@ -58,7 +58,7 @@ inf AS (SELECT origen, destino, peso FROM (SELECT *, row_number() OVER (PARTITIO
 
 @C.add("gr4_transitive_edges", "WITH " + _TRANSITIVE + " SELECT origen, destino, round(peso + 1e-9, 6) AS peso, 2 AS saltos FROM inf", "edges")
 def _(v: Views) -> DataFrame:
-    return G.transitive_edges(v.edges).select("origen", "destino", F.round(F.col("peso") + 1e-9, 6).alias("peso"), "saltos")
+    return G.inferred_edges(v.edges).select("origen", "destino", F.round(F.col("peso") + 1e-9, 6).alias("peso"), F.lit(2).alias("saltos"))
 
 
 @C.add(
@@ -67,7 +67,7 @@ def _(v: Views) -> DataFrame:
     "edges",
 )
 def _(v: Views) -> DataFrame:
-    return G.first_per(G.undirected(G.transitive_edges(v.edges)), ["a"], [F.desc("peso"), F.asc("b")], 5).select("a", "b")
+    return G.first_per(G.undirected(G.inferred_edges(v.edges)), ["a"], [F.desc("peso"), F.asc("b")], 5).select("a", "b")
 
 
 @C.add(
@@ -78,26 +78,26 @@ SELECT origen, destino, round(least(1.0, peso * 0.15 * 1.1) + 1e-9, 6) AS peso F
 )
 def _(v: Views) -> DataFrame:
     """Inferred edges whose ends share a dimension, at the weight of that evidence alone."""
-    inferred = G.transitive_edges(v.edges).select("origen", "destino", "peso")
+    inferred = G.inferred_edges(v.edges).select("origen", "destino", "peso")
     x = inferred.join(v.dims.select(F.col("concepto").alias("origen"), "dim"), "origen").join(v.dims.select(F.col("concepto").alias("destino"), "dim"), ["destino", "dim"]).select("origen", "destino", "peso").distinct()
     return x.select("origen", "destino", F.round(F.least(F.lit(1.0), F.col("peso") * 0.15 * 1.1) + 1e-9, 6).alias("peso"))
 
 
 @C.add("gr6_label_propagation")
 def _(v: Views) -> DataFrame:
-    return G.label_propagation(v.und, 3)
+    return G.label_propagation(v.und)
 
 
 @C.add("ag21_communities")
 def _(v: Views) -> DataFrame:
-    labels = G.label_propagation(v.und, 3)
-    return G.communities(v.und, labels, 5, 0.05).withColumn("densidad", F.round("densidad", 6))
+    labels = G.label_propagation(v.und)
+    return G.communities(v.und, labels, 5, 0.01).withColumn("densidad", F.round("densidad", 6))
 
 
 @C.add("ag22_community_names")
 def _(v: Views) -> DataFrame:
     """The three most common words of each group's contents make its name."""
-    labels = G.label_propagation(v.und, 3)
+    labels = G.label_propagation(v.und)
     words = labels.join(v.nodes.select("concepto", F.explode(T.cluster_tokens("contenido")).alias("w")), "concepto").groupBy("grupo", "w").agg(F.count(F.lit(1)).alias("n"))
     top = G.first_per(words, ["grupo"], [F.desc("n"), F.asc("w")], 3)
     return top.groupBy("grupo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rango", "w"))), lambda x: x["w"]), "_").alias("nombre"))
@@ -138,7 +138,7 @@ def _(v: Views) -> DataFrame:
 
 @C.add("gr13_confirm_latent", "WITH " + _TRANSITIVE + " SELECT origen, destino, round(peso + 1e-9, 6) AS peso, 'latente_confirmada' AS tipo FROM inf WHERE peso >= 0.4", "edges")
 def _(v: Views) -> DataFrame:
-    return G.transitive_edges(v.edges).where("peso >= 0.4").select("origen", "destino", F.round(F.col("peso") + 1e-9, 6).alias("peso"), F.lit("latente_confirmada").alias("tipo"))
+    return G.inferred_edges(v.edges).where("peso >= 0.4").select("origen", "destino", F.round(F.col("peso") + 1e-9, 6).alias("peso"), F.lit("latente_confirmada").alias("tipo"))
 
 
 @C.add(

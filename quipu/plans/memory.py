@@ -458,7 +458,7 @@ def _(v: Views) -> DataFrame:
 @C.add("gr7_emergent_dimensions")
 def _(v: Views) -> DataFrame:
     """Groups of five or more with the tag they overlap most (Jaccard 0.5 or more), else a name of their own."""
-    labels = G.label_propagation(v.und, 3)
+    labels = G.label_propagation(v.und)
     size = labels.groupBy("grupo").agg(F.count(F.lit(1)).alias("ng")).where("ng >= 5")
     tag = v.dims.groupBy("dim").agg(F.count(F.lit(1)).alias("nd"))
     both = labels.join(size, "grupo").join(v.dims, "concepto").groupBy("grupo", "ng", "dim").agg(F.count(F.lit(1)).alias("c")).join(tag, "dim")

@@ -11,6 +11,7 @@ from quipu.functions.stem import with_stems
 from quipu.operators import calibration as K
 from quipu.operators import distribution as D
 from quipu.operators.graph import first_per
+from quipu.operators.running import running_before
 from quipu.plans.relational import W
 from quipu.plans.search import _IDX, hits, pairs
 from quipu.plans.views import Catalogue, Views
@@ -303,10 +304,9 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     s = top_scores(v)
     steps = K.isotonic_steps(s)
-    value = F.lit(steps[0][1] if steps else 0.0)
-    for x, p in steps[1:]:
-        value = F.when(F.col("score") >= x - 0.5 / K.STEPS, F.lit(p)).otherwise(value)
-    return s.select("item_id", F.round(value, 6).alias("p"))
+    table = v.spark.createDataFrame([(float(b), float(K.step_value(steps, b / K.STEPS))) for b in range(K.STEPS + 1)], "b double, p double")
+    bin_ = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")) * K.STEPS)
+    return s.select("item_id", bin_.alias("b")).join(F.broadcast(table), "b").select("item_id", F.round("p", 6).alias("p"))
 
 
 @C.add("ca4_logistic_fusion")
@@ -326,8 +326,8 @@ def _(v: Views) -> DataFrame:
 
 @C.add("ca8_stratified_split", "SELECT item_id, row_number() OVER (PARTITION BY categoria ORDER BY md5(CAST(item_id AS VARCHAR))) % 2 = 0 AS prueba FROM casos_qa")
 def _(v: Views) -> DataFrame:
-    w = Window.partitionBy("categoria").orderBy(F.md5(F.col("item_id").cast("string")))
-    return v.table("casos_qa").select("item_id", (F.row_number().over(w) % 2 == 0).alias("prueba"))
+    cases = v.table("casos_qa").select("item_id", "categoria", F.md5(F.col("item_id").cast("string")).alias("h"))
+    return running_before(cases, ["categoria"], [F.asc("h")], F.lit(1), "antes").select("item_id", (F.col("antes") % 2 == 1).alias("prueba"))
 
 
 @C.add("sf12_certainty", _SCORES + " SELECT item_id, CASE WHEN score >= 0.8 THEN 'alta' WHEN score >= 0.6 THEN 'media' ELSE 'baja' END AS certeza FROM s", "nodes")
