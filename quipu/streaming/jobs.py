@@ -15,13 +15,16 @@ from quipu.operators.cut import shared_folder
 from quipu.operators.lifecycle import reinforce_one
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; it may be one file or a folder of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    glob = path if os.path.isdir(path) else f"{sf_dir}/{name}.parque[t]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(glob)
+
+
 def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of its files, with ts as a timestamp (UTC)."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # a table may be one file or a folder of files
-    glob = path if os.path.isdir(path) else f"{sf_dir}/events.parque[t]"
-    return spark.readStream.schema(schema).parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
+    return read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def fresh_only(log: DataFrame, keep: str = "7 days") -> DataFrame:
@@ -91,3 +94,18 @@ def run_to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None =
         return found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in (*keys, "batch")]), F.struct("batch", order)).alias("r")).select(*keys, "r.*")
     writer.format("parquet").start(f"{out}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def each_batch(stream: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """What `make` gives for every micro-batch that the source holds now; per key the rows of the last batch that gave any.
+    A batch that runs again replaces its own folder."""
+    spark = stream.sparkSession
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    found = spark.read.parquet(f"{out}/rows")
+    last = found.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return found.join(last, [*keys, "batch"], "left_semi").drop("batch")
