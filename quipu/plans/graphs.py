@@ -50,8 +50,8 @@ def _(v: Views) -> DataFrame:
     return path.select("semilla", "concepto", F.array_join("camino", ">").alias("camino"))
 
 
-_TRANSITIVE = """st AS (SELECT origen, destino, peso FROM edges WHERE peso >= 0.25),
-p2 AS (SELECT x.origen, y.destino, x.peso * 0.7 * y.peso * 0.7 AS peso FROM st x JOIN st y ON y.origen = x.destino AND y.destino <> x.origen WHERE x.peso * 0.7 * y.peso * 0.7 >= 0.05),
+_TRANSITIVE = """fu AS (SELECT origen, destino, peso FROM edges WHERE peso >= 0.25),
+p2 AS (SELECT x.origen, y.destino, x.peso * 0.7 * y.peso * 0.7 AS peso FROM fu x JOIN fu y ON y.origen = x.destino AND y.destino <> x.origen WHERE x.peso * 0.7 * y.peso * 0.7 >= 0.05),
 lat AS (SELECT origen, destino, max(peso) AS peso FROM p2 ANTI JOIN edges USING (origen, destino) GROUP BY 1, 2),
 inf AS (SELECT origen, destino, peso FROM (SELECT *, row_number() OVER (PARTITION BY origen ORDER BY round(peso, 9) DESC, destino) AS r FROM lat) WHERE r <= 20)"""
 
