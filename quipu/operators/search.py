@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quipu.operators.graph import first_per
 
+#: Queries of a batch that goes to every task, at most.
+MOST_QUERIES = 100_000
+
 
 def inverted_index(rows: DataFrame, key: str, fields: dict[str, tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
     """fields: tokens and weight of each. Out: postings (key, term, tf, the weighted count) and
@@ -44,10 +47,13 @@ def nearest(nodes: DataFrame, key: str, asked: DataFrame, n: int) -> DataFrame:
     """nodes: key, vector; asked: consulta, vector, a batch that goes to every task. Out: consulta, key, coseno of
     the n nodes of greatest cosine above 0, ties to the least key; every node is compared."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    batch = asked.select("consulta", "vector").collect()
+    kind = dict(asked.dtypes)["consulta"]
+    batch = asked.select("consulta", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(batch) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
     if not batch:
-        return nodes.select(F.lit(None).cast("bigint").alias("consulta"), key, F.lit(0.0).alias("coseno")).limit(0)
-    ids, q = np.array([r[0] for r in batch]), unit(np.array([r[1] for r in batch], dtype=float))
+        return nodes.select(F.lit(None).cast(kind).alias("consulta"), key, F.lit(0.0).alias("coseno")).limit(0)
+    ids, q = [r[0] for r in batch], unit(np.array([r[1] for r in batch], dtype=float))
 
     def run(frames):
         for pdf in frames:
@@ -59,5 +65,5 @@ def nearest(nodes: DataFrame, key: str, asked: DataFrame, n: int) -> DataFrame:
                     best = np.flatnonzero(cos[:, j] >= least)
                     yield pd.DataFrame({"consulta": ids[j], key: names[best], "coseno": cos[best, j]})
 
-    scored = nodes.select(key, "vector").mapInPandas(run, f"consulta bigint, {key} string, coseno double").where("coseno > 0")
+    scored = nodes.select(key, "vector").mapInPandas(run, f"consulta {kind}, {key} string, coseno double").where("coseno > 0")
     return first_per(scored, ["consulta"], [F.desc("coseno"), F.asc(key)], n).select("consulta", key, "coseno")

@@ -15,7 +15,7 @@ from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
-from quipu.plans.vectors import query_vectors, usable
+from quipu.plans.vectors import _QV, _VEC, query_vectors, usable
 from quipu.plans.views import Catalogue, Views
 
 C = Catalogue()
@@ -223,7 +223,16 @@ def _(v: Views) -> DataFrame:
     return first_per(top(v).drop("rango").join(fresh, "concepto", "left_semi"), ["consulta"], [F.desc("bm25"), F.asc("concepto")], 5).select("consulta", "concepto")
 
 
-@C.add("se6m_chain_evocation")
+@C.add(
+    "se6m_chain_evocation",
+    "WITH " + _TOP + """, hv AS (SELECT a, b, peso FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY peso DESC, b) AS r FROM und) WHERE r <= 10),
+h0 AS (SELECT CAST(consulta AS VARCHAR) AS semilla, concepto, bm25 / (bm25 + 3) AS s FROM top WHERE rango <= 5),
+h1 AS (SELECT semilla, b AS concepto, max(s * hv.peso * 0.5) AS s FROM h0 JOIN hv ON a = concepto WHERE s * hv.peso * 0.5 > 0.05 GROUP BY 1, 2), e1 AS (SELECT h1.* FROM h1 ANTI JOIN h0 USING (semilla, concepto)),
+v1 AS (SELECT semilla, concepto FROM h0 UNION SELECT semilla, concepto FROM e1),
+e2 AS (SELECT e1.semilla, b AS concepto, max(s * hv.peso * 0.25) AS s FROM e1 JOIN hv ON a = e1.concepto ANTI JOIN v1 ON v1.semilla = e1.semilla AND v1.concepto = hv.b WHERE s * hv.peso * 0.25 > 0.05 GROUP BY 1, 2)
+SELECT semilla AS consulta, concepto, round(s, 6) AS activacion FROM (SELECT *, row_number() OVER (PARTITION BY semilla ORDER BY s DESC, concepto) AS r FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2)) WHERE r <= 5""",
+    "nodes edges und",
+)
 def _(v: Views) -> DataFrame:
     """Spreading from the five best hits of each query; the five strongest concepts reached."""
     seeds = cut(top(v, 5).select(F.col("consulta").cast("string").alias("semilla"), "concepto", S.bm25_unit(F.col("bm25")).alias("activacion")))
@@ -249,7 +258,11 @@ def _(v: Views) -> DataFrame:
     return v.table("casos_qa").where("not deep").select("item_id", F.lower(F.trim("concepto_esperado")).alias("concepto")).join(v.nodes.select("concepto"), "concepto", "left_semi").select("item_id", "concepto")
 
 
-@C.add("se13_epistemic_evaluation")
+EPISTEME = "WITH " + _IDX + ", " + _VEC + ", " + _QV + """, nq AS (SELECT consulta, count(*) AS n FROM q GROUP BY 1),
+ep AS (SELECT h.consulta, 0.7 * greatest(0.0, max(coalesce(list_cosine_similarity(qv.v, CAST(vec.v AS DOUBLE[])), 0.0))) + 0.3 * max(terminos / CAST(n AS DOUBLE)) AS ce FROM hits h JOIN nq ON nq.consulta = h.consulta LEFT JOIN qv ON qv.consulta = h.consulta LEFT JOIN vec ON k = concepto GROUP BY 1)"""
+
+
+@C.add("se13_epistemic_evaluation", EPISTEME + " SELECT consulta, round(ce, 6) AS episteme, ce >= 0.55 AS sabe FROM ep", "nodes")
 def _(v: Views) -> DataFrame:
     """0.7 * the best cosine of a candidate + 0.3 * the best token coverage; known from 0.55 on."""
     near = hits(v).join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta", "left").join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto", "left")

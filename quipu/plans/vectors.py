@@ -144,12 +144,29 @@ def signatures(v: Views) -> DataFrame:
     return every.join(F.broadcast(centre.withColumnRenamed("vector", "c")), "categoria").select("k", "categoria", F.round(F.greatest(F.lit(0.0), S.cosine(F.col("vector"), F.col("c"))), 6).alias("afinidad"))
 
 
-@C.add("ve4_memberships")
+def _mean(rows: str, by: str) -> str:
+    """SQL of the weighted mean of the vectors v of rows with weights w, by a key."""
+    return f"SELECT {by}, list(m ORDER BY i) AS v FROM (SELECT {by}, i, sum(w * x) / sum(w) AS m FROM (SELECT {by}, w, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) AS i FROM ({rows})) GROUP BY 1, 2) GROUP BY 1"
+
+
+_AFF = f"""{_VEC}, cen AS ({_mean("SELECT categoria, 1.0 AS w, v FROM vec JOIN nodes ON concepto = k WHERE categoria BETWEEN 1 AND 11", "categoria")}),
+aff AS (SELECT k, categoria, round(greatest(0.0, list_cosine_similarity(CAST(vec.v AS DOUBLE[]), cen.v)), 6) AS afinidad FROM vec, cen)"""
+_TOK = f"""tvec AS (SELECT lower(trim(token, ' ')) AS k, min(vector) AS v FROM tokens WHERE len(vector) = 100 AND trim(token, ' ') <> '' AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
+tk AS (SELECT k, v, greatest(0.01, ln(((SELECT count(*) FROM nodes) + 1) / CAST(f + 1 AS DOUBLE)) + 1) AS w FROM tvec JOIN (SELECT lower(trim(token, ' ')) AS k, max(freq) AS f FROM tokens GROUP BY 1) USING (k))"""
+_QV = _TOK + f""",
+qv AS ({_mean(f"SELECT consulta, w, v FROM (SELECT DISTINCT item_id AS consulta, unnest({W('consulta', 3)}) AS k FROM casos_qa) JOIN tk USING (k)", "consulta")})"""
+
+
+def rounded(vector: str) -> Column:
+    return F.transform(vector, lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector")
+
+
+@C.add("ve4_memberships", "WITH " + _AFF + " SELECT k AS concepto, categoria, afinidad, rango FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY afinidad DESC, categoria) AS rango FROM aff) WHERE rango <= 3", "nodes")
 def _(v: Views) -> DataFrame:
     return first_per(signatures(v), ["k"], [F.desc("afinidad"), F.asc("categoria")], 3).select(F.col("k").alias("concepto"), "categoria", "afinidad", "rango")
 
 
-@C.add("ex6_softmax_membership")
+@C.add("ex6_softmax_membership", "WITH " + _AFF + ", s AS (SELECT *, exp(afinidad) / sum(exp(afinidad)) OVER (PARTITION BY k) AS p FROM aff) SELECT k AS concepto, categoria, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, categoria) AS r FROM s) WHERE r <= 3", "nodes")
 def _(v: Views) -> DataFrame:
     w = Window.partitionBy("k")
     soft = signatures(v).withColumn("p", F.exp("afinidad") / F.sum(F.exp("afinidad")).over(w))
@@ -168,18 +185,19 @@ def query_vectors(v: Views) -> DataFrame:
     return D.weighted_mean(q.join(token_vectors(v), "k"), ["consulta"], "vector", F.greatest(F.lit(0.01), "idf"), SIZE)
 
 
-@C.add("ve2c_query_vectors")
+@C.add("ve2c_query_vectors", "WITH " + _QV + " SELECT consulta, list_transform(v, lambda x: round(x, 6) + 0.0) AS vector FROM qv", "nodes")
 def _(v: Views) -> DataFrame:
-    return query_vectors(v)
+    return query_vectors(v).select("consulta", rounded("vector"))
 
 
-@C.add("ve2b_document_vectors")
+@C.add("ve2b_document_vectors", "WITH " + _TOK + ", dv AS (" + _mean(f"SELECT concepto, w, v FROM (SELECT concepto, unnest({W('contenido', 3)}) AS k FROM nodes) JOIN tk USING (k)", "concepto") + ") SELECT concepto, list_transform(v, lambda x: round(x, 6) + 0.0) AS vector FROM dv", "nodes")
 def _(v: Views) -> DataFrame:
     words = v.nodes.select("concepto", F.explode(T.words("contenido", 3)).alias("k"))
-    return D.weighted_mean(words.join(token_vectors(v), "k"), ["concepto"], "vector", F.greatest(F.lit(0.01), "idf"), SIZE)
+    return D.weighted_mean(words.join(token_vectors(v), "k"), ["concepto"], "vector", F.greatest(F.lit(0.01), "idf"), SIZE).select("concepto", rounded("vector"))
 
 
-@C.add("ve3_vector_candidates")
+@C.add("ve3_vector_candidates", "WITH " + _IDX + ", " + _VEC + ", " + _QV + """, m AS (SELECT h.consulta, h.concepto, round(list_cosine_similarity(qv.v, CAST(vec.v AS DOUBLE[])), 6) AS coseno FROM hits h JOIN qv ON qv.consulta = h.consulta JOIN vec ON k = concepto)
+SELECT consulta, concepto, coseno FROM (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY coseno DESC, concepto) AS r FROM m) WHERE r <= 10""", "nodes")
 def _(v: Views) -> DataFrame:
     """Candidates by BM25, ranked by the cosine of query and node vectors."""
     near = hits(v).join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta").join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto")
@@ -187,7 +205,14 @@ def _(v: Views) -> DataFrame:
     return first_per(scored, ["consulta"], [F.desc("coseno"), F.asc("concepto")], 10).select("consulta", "concepto", "coseno")
 
 
-@C.add("ve2e_retrofit")
+def _moved(pull: str) -> str:
+    near = _mean("SELECT u.a, u.peso AS w, vec.v FROM und u JOIN vec ON vec.k = u.b WHERE u.a IN (SELECT k FROM vec)", "a")
+    return f"""WITH {_VEC}, nm AS ({near}), g AS (SELECT a, count(*) AS n FROM und GROUP BY 1)
+SELECT vec.k AS concepto, round({pull} * sqrt(list_sum(list_transform(list_zip(CAST(vec.v AS DOUBLE[]), nm.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS paso FROM vec JOIN nm ON nm.a = vec.k JOIN g ON g.a = vec.k
+UNION ALL SELECT k, 0.0 FROM vec WHERE k NOT IN (SELECT a FROM nm)"""
+
+
+@C.add("ve2e_retrofit", _moved("0.2"), "edges und")
 def _(v: Views) -> DataFrame:
     """One round; the length of the way each vector moved."""
     before = usable(v.table("nodos"), "concepto")
@@ -196,6 +221,18 @@ def _(v: Views) -> DataFrame:
     return before.join(after, "k").select(F.col("k").alias("concepto"), F.round(F.sqrt(S.dot(moved, moved)), 6).alias("paso"))
 
 
+@C.add("ve2f_adaptive_retrofit", _moved("0.2 * (n / (n + 5.0))"), "edges und")
+def _(v: Views) -> DataFrame:
+    """As ve2e, pulled the more, the more neighbours a node has: 0.2 * n / (n + 5)."""
+    before = usable(v.table("nodos"), "concepto")
+    n = v.und.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    after = D.retrofit(before, v.und, SIZE, 1.0).withColumnRenamed("vector", "w")  # the mean of the neighbours
+    way = F.zip_with("vector", "w", lambda x, y: x.cast("double") - y)
+    moved = before.join(after, "k").join(n, "k", "left")
+    pull = F.coalesce(0.2 * F.col("n") / (F.col("n") + 5.0), F.lit(0.0))
+    return moved.select(F.col("k").alias("concepto"), F.round(pull * F.sqrt(S.dot(way, way)), 6).alias("paso"))
+
+
 _SIG = f"""sg AS (SELECT concepto, list_sort(list_distinct(list(p))) AS b FROM (SELECT concepto, CAST(('0x' || left(md5(t || '#' || k), 8)) AS BIGINT) % 2048 AS p FROM
   (SELECT concepto, t FROM (SELECT *, row_number() OVER (PARTITION BY concepto ORDER BY i) AS r FROM (SELECT concepto, t, min(i) AS i FROM (SELECT concepto, unnest({W('contenido', 4)}) AS t, generate_subscripts({W('contenido', 4)}, 1) AS i FROM nodes) GROUP BY 1, 2)) WHERE r <= 50), (VALUES ('0'), ('1'), ('2'), ('3')) ks(k)) GROUP BY 1)"""
 
