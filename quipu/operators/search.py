@@ -26,8 +26,9 @@ def _weigh(weight: float):
     return lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """asked: consulta, term (distinct). Out: consulta, key, bm25 (greater is better), terminos (terms hit).
+def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, among: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """asked: consulta, term (distinct). Out: consulta, key, bm25 (greater is better), terminos (terms hit); among: only of
+    these pairs of consulta and key.
 
     Every term counts, however common; one that most records hold has the least weight, 1e-6. The asked
     terms are broadcast and postings scored where they lie: if those of a key lie together, as
@@ -38,7 +39,10 @@ def bm25(postings: DataFrame, lengths: DataFrame, asked: DataFrame, key: str, k1
     df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = asked.join(df.select("term", idf.alias("idf")), "term")
-    hits = met.join(lengths, key).join(F.broadcast(weighed), "term")
+    if among is None:
+        hits = met.join(lengths, key).join(F.broadcast(weighed), "term")
+    else:
+        hits = among.join(weighed, "consulta").join(met, [key, "term"]).join(lengths, key)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
     return hits.groupBy("consulta", key).agg(F.round(F.sum(part), 6).alias("bm25"), F.count(F.lit(1)).alias("terminos"))
 

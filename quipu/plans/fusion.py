@@ -1,101 +1,111 @@
-"""The flagship's candidates, united from the registered layers, and the signals that score them."""
+"""The flagship: candidates united from the layers, gated as they are in the cascade, and the signals that score them."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quipu.functions import score as S
 from quipu.functions import text as T
-from quipu.operators.graph import neighbour_counts
-from quipu.operators.search import nearest
-from quipu.plans.search import hits, top
+from quipu.operators.cut import cut
+from quipu.operators.graph import first_per, neighbour_counts
+from quipu.operators.search import bm25, nearest
+from quipu.plans.search import asked, index, top
 from quipu.plans.vectors import query_vectors, usable
 from quipu.plans.views import Views
 
-_SIGNALS = ("bm25", "dim", "hub", "cadena")
-
-
-def _layer(rows: DataFrame, picks: bool = True, **signals: Column) -> DataFrame:
-    held = [signals.get(s, F.lit(None)).cast("double").alias(s) for s in _SIGNALS]
-    return rows.select(F.col("consulta").cast("bigint").alias("consulta"), "concepto", *held, F.lit(picks).alias("capa"))
+#: Hits below which the fallback layers are asked.
+FEW = 3
 
 
 def typo_hits(v: Views, typos: DataFrame) -> DataFrame:
     words = lambda c, n: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(f"[a-z0-9]{{{n},}}"), F.lit(0))))
     q = v.table("casos_qa").select(F.col("item_id").alias("consulta"), words(F.lower("consulta"), 6).alias("palabra"))
     names = v.active.select("concepto", words(F.translate("concepto", "_", " "), 4).alias("parecida"))
-    return names.join(F.broadcast(q.join(typos, "palabra").select("consulta", "parecida").distinct()), "parecida").select("consulta", "concepto")
+    return names.join(q.join(typos, "palabra").select("consulta", "parecida").distinct(), "parecida").select("consulta", "concepto")
+
 
+def candidates(v: Views, best: DataFrame, hubs: DataFrame, chain: DataFrame) -> DataFrame:
+    """consulta, concepto, capas (names of the layers, sorted).
 
-def candidates(v: Views) -> DataFrame:
-    """consulta, concepto with the signals of the layers (null where a layer lacks it): the 50 best by BM25 and by
-    vector, near words, prefixes, typos, hubs, shared tags, evocation, and latent edges of the five best."""
+    Always: the 50 best by BM25, near words, members of the hubs that are meant, the 50 of greatest cosine, evocation, and the 20
+    heaviest latent edges of the five best. Where BM25 finds fewer than FEW: prefixes and typos.
+    """
     from quipu.plans import memory, search
 
     named = lambda name: (search.QUERIES | memory.QUERIES)[name](v.spark, v.dir)
-    hub = F.broadcast(named("se6b_hub_expansion").where("confianza >= 0.25"))
-    latent = v.und.where("peso < 0.5").select(F.col("a").alias("de"), F.col("b").alias("concepto"))
+    found = best.groupBy("consulta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select("consulta")
+    without = lambda rows: rows.join(found, "consulta", "left_anti")
+    latent = v.und.where("peso < 0.5").select(F.col("a").alias("de"), F.col("b").alias("concepto"), "peso")
+    five = best.where("rango <= 5").select("consulta", F.col("concepto").alias("de"))
+    reached = five.join(latent, "de").groupBy("consulta", "concepto").agg(F.max("peso").alias("peso"))
     nodes = usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), "vector")
-    layers = [
-        _layer(hits(v), False, bm25=F.col("bm25")),
-        _layer(top(v)),
-        _layer(named("se6e_near")),
-        _layer(named("se6h_prefix_layer")),
-        _layer(typo_hits(v, named("se6i_typo_fallback"))),
-        _layer(v.dims.withColumnRenamed("dim", "hub_id").join(hub, "hub_id"), hub=F.least(F.lit(1.0), 2 * F.col("confianza"))),
-        _layer(named("sf1i_dimension_cosine"), dim=F.col("coseno")),
-        _layer(named("se6m_chain_evocation"), cadena=F.col("activacion")),
-        _layer(latent.join(F.broadcast(top(v, 5).select("consulta", F.col("concepto").alias("de"))), "de")),
-        _layer(nearest(nodes, "concepto", query_vectors(v), 50)),
-    ]
-    every = layers[0]
-    for x in layers[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("consulta", "concepto").agg(*[F.max(s).alias(s) for s in _SIGNALS], F.max("capa").alias("capa")).where("capa").drop("capa")
-
-
-def themes(v: Views) -> DataFrame:
-    """consulta, concepto, tema: 3 * the mean similarity above 0.1 to the 50 best of the query, at most 1."""
-    from quipu.plans import vectors
-
-    t = vectors.QUERIES["sf4_thematic_similarity"](v.spark, v.dir).where("tema > 0.1")
-    both = t.select("a", "b", "tema").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "tema"))
-    near = top(v).select("consulta", F.col("concepto").alias("a")).join(both, "a")
-    return near.groupBy("consulta", F.col("b").alias("concepto")).agg(F.least(F.lit(1.0), 3 * F.avg("tema")).alias("tema"))
-
-
-def _compared(v: Views):
-    """UDF of (queries, vector) of a node: its cosine with each query, 0 at least; the batch of queries goes along."""
-    unit = lambda x: x / (np.linalg.norm(x) or 1.0)
-    vectors = {r["consulta"]: unit(np.array(r["vector"], dtype=float)) for r in query_vectors(v).collect()}
-
-    @F.pandas_udf("array<double>")
-    def run(asked: pd.Series, vector: pd.Series) -> pd.Series:
-        out = []
-        for ids, x in zip(asked, vector):
-            x = None if x is None else unit(np.asarray(x, dtype=float))
-            out.append([max(0.0, float(x @ vectors[i])) if x is not None and i in vectors else 0.0 for i in ids])
-        return pd.Series(out)
-
-    return run
+    layers = {
+        "bm25": best,
+        "cerca": named("se6e_near"),
+        "hub": hubs,
+        "vector": nearest(nodes, "concepto", query_vectors(v), 50),
+        "cadena": chain,
+        "latente": first_per(reached, ["consulta"], [F.desc("peso"), F.asc("concepto")], 20),
+        "prefijo": memory.prefix_hits(v, without(asked(v))),
+        "errata": without(typo_hits(v, named("se6i_typo_fallback"))),
+    }
+    rows = [x.select(F.col("consulta").cast("bigint").alias("consulta"), "concepto", F.lit(name).alias("capa")) for name, x in layers.items()]
+    return reduce(DataFrame.unionByName, rows).groupBy("consulta", "concepto").agg(F.array_sort(F.collect_set("capa")).alias("capas"))
+
+
+def _tags(v: Views) -> tuple[DataFrame, DataFrame]:
+    n = float(v.active.count())
+    idf = v.dims.groupBy("dim").agg(F.log(F.lit(n) / F.count(F.lit(1))).alias("idf"))
+    tagged = cut(v.dims.join(idf, "dim"))
+    return tagged, tagged.groupBy("concepto").agg(F.count(F.lit(1)).alias("n"), F.sum("idf").alias("w"))
+
+
+def themes(v: Views, pairs: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
+    """consulta, concepto, tema: 3 * the mean similarity above 0.1 to the 50 best of the query, at most 1; of given pairs, or
+    of all that share a tag with one of the 50 best."""
+    best = top(v) if best is None else best
+    tagged, size = _tags(v)
+    sized = lambda k: size.select(F.col("concepto").alias(k), F.col("n").alias(f"n_{k}"), F.col("w").alias(f"w_{k}"))
+    near = best.select("consulta", F.col("concepto").alias("a")).join(tagged.select(F.col("concepto").alias("a"), "dim", "idf"), "a")
+    if pairs is None:
+        met = near.join(tagged.select("concepto", "dim"), "dim")
+    else:
+        met = near.join(pairs.select("consulta", "concepto").join(tagged.select("concepto", "dim"), "concepto"), ["consulta", "dim"])
+    shared = met.where("a <> concepto").groupBy("consulta", "concepto", "a").agg(F.count(F.lit(1)).alias("c"), F.sum("idf").alias("w"))
+    both = shared.join(sized("a"), "a").join(sized("concepto"), "concepto")
+    tema = F.round(0.4 * F.col("c") / (F.col("n_a") + F.col("n_concepto") - F.col("c")) + 0.6 * T.ratio(F.col("w"), F.col("w_a") + F.col("w_concepto") - F.col("w")), 6)
+    scored = both.select("consulta", "concepto", tema.alias("t")).where("t > 0.1")
+    return scored.groupBy("consulta", "concepto").agg(F.least(F.lit(1.0), 3 * F.avg("t")).alias("tema"))
 
 
 def hybrid_hits(v: Views) -> DataFrame:
-    """Every candidate with the hybrid score; its queries are listed per node, so a node's texts and vector move once."""
-    asked = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q"))
-    found = candidates(v).join(themes(v), ["consulta", "concepto"], "left")
-    per = found.groupBy("concepto").agg(F.collect_list(F.struct("consulta", *_SIGNALS, "tema")).alias("x"))
-    nodes = v.active.select("concepto", "peso", T.words(F.translate("concepto", "_", " "), 3).alias("c"), T.words("sinonimos", 3).alias("s"))
-    grade = neighbour_counts(v.und).select(F.col("a").alias("concepto"), "n")
+    """consulta, concepto, capas, score: every candidate with the hybrid score of the ten signals that have data."""
+    from quipu.plans import memory, search
+
+    best = cut(top(v))
+    hubs = cut(v.dims.withColumnRenamed("dim", "hub_id").join(search.QUERIES["se6b_hub_expansion"](v.spark, v.dir).where("confianza >= 0.25"), "hub_id").groupBy("consulta", "concepto").agg(F.max("confianza").alias("c")))
+    chain = cut(memory.QUERIES["se6m_chain_evocation"](v.spark, v.dir).select(F.col("consulta").cast("bigint").alias("consulta"), "concepto", "activacion"))
+    found = cut(candidates(v, best, hubs, chain))
+    pair = ["consulta", "concepto"]
+
+    # BM25 of candidates that other layers brought: their postings only
+    postings, lengths = index(v)
+    scores = bm25(postings, lengths, asked(v), "concepto", found.select(*pair)).select(*pair, "bm25")
+    meant = best.where("rango <= 5").join(v.dims, "concepto").select("consulta", "dim").distinct()
+    total = meant.groupBy("consulta").agg(F.count(F.lit(1)).alias("k"))
+    tags = found.select(*pair).join(v.dims, "concepto").join(meant, ["consulta", "dim"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).join(total, "consulta")
+    tags = tags.select(*pair, F.round(F.sqrt("c") / F.sqrt("k"), 6).alias("dim"))
     latent = v.und.where("peso < 0.5").groupBy(F.col("a").alias("concepto")).agg(F.max("peso").alias("latente"))
-    vector = usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), "vector")
-    rows = per.join(nodes, "concepto").join(grade, "concepto", "left").join(latent, "concepto", "left").join(vector, "concepto", "left")
-    rows = rows.withColumn("m", _compared(v)(F.col("x.consulta"), F.col("vector")))
-    rows = rows.select("concepto", "peso", "c", "s", "n", "latente", F.explode(F.arrays_zip("x", F.col("m").alias("v"))).alias("z"))
-    rows = rows.select("concepto", "peso", "c", "s", "n", "latente", "z.x.*", "z.v").join(F.broadcast(asked), "consulta")
+    grade = neighbour_counts(v.und).select(F.col("a").alias("concepto"), F.col("n").alias("grado"))
+    own = v.active.select("concepto", "peso", T.words(F.translate("concepto", "_", " "), 3).alias("c"), T.words("sinonimos", 3).alias("s"))
+    of_node = found.select("concepto").distinct().join(own, "concepto").join(grade, "concepto", "left").join(latent, "concepto", "left")
+    of_node = of_node.join(usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), "vector"), "concepto", "left")
+    of_query = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q")).join(query_vectors(v).withColumnRenamed("vector", "vq"), "consulta", "left")
+    rows = found.join(scores, pair, "left").join(tags, pair, "left").join(hubs.withColumnRenamed("c", "hub"), pair, "left").join(chain, pair, "left")
+    rows = rows.join(themes(v, found, best).withColumn("tema", F.round(F.col("tema") + 1e-9, 6)), pair, "left").join(of_node, "concepto").join(of_query, "consulta")
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))
     signals = {
         "bm25": S.bm25_unit(or_0("bm25")),
@@ -103,10 +113,11 @@ def hybrid_hits(v: Views) -> DataFrame:
         "concepto": T.coverage(F.col("q"), F.col("c")),
         "sinonimos": T.coverage(F.col("q"), F.col("s")),
         "peso": S.unit(F.col("peso")),
-        "latente": F.greatest(or_0("latente"), or_0("cadena")),
+        "latente": F.greatest(or_0("latente"), or_0("activacion")),
         "tema": or_0("tema"),
-        "asociaciones": F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 20.0),
-        "hub": or_0("hub"),
+        "asociaciones": F.least(F.lit(1.0), F.coalesce("grado", F.lit(0)) / 20.0),
+        "hub": or_0(F.least(F.lit(1.0), 2 * F.col("hub"))),
     }
     exact = F.size(F.array_except("q", "c")) + F.size(F.array_except("c", "q")) == 0
-    return rows.select("consulta", "concepto", F.round(S.hybrid(signals, exact, F.col("v")), 6).alias("score"))
+    cos = F.when(F.col("vector").isNotNull() & F.col("vq").isNotNull(), F.greatest(F.lit(0.0), S.cosine(F.col("vq"), F.col("vector")))).otherwise(0.0)
+    return rows.select(*pair, "capas", F.round(S.hybrid(signals, exact, cos), 6).alias("score"))

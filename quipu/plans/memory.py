@@ -210,11 +210,16 @@ def _(v: Views) -> DataFrame:
 
 @C.add("se6h_prefix_layer", "WITH " + _IDX + ", p AS (SELECT DISTINCT consulta, left(term, 5) AS s FROM q WHERE length(term) >= 5), x AS (SELECT left(term, 5) AS s, concepto, term FROM idx WHERE length(term) >= 5), k AS (SELECT DISTINCT s FROM x) SELECT consulta, concepto, count(DISTINCT s) AS prefijos FROM p JOIN k USING (s) JOIN x USING (s) GROUP BY 1, 2", "nodes")
 def _(v: Views) -> DataFrame:
+    return prefix_hits(v, asked(v))
+
+
+def prefix_hits(v: Views, asked_: DataFrame) -> DataFrame:
+    """consulta, concepto, prefijos: first five characters of words that a query and a node share."""
     postings, _ = index(v)
     s = F.substring("term", 1, 5)
-    p = asked(v).where(F.length("term") >= 5).select("consulta", s.alias("s")).distinct()
+    p = asked_.where(F.length("term") >= 5).select("consulta", s.alias("s")).distinct()
     x = postings.where(F.length("term") >= 5).select(s.alias("s"), "concepto").distinct()
-    return x.join(F.broadcast(p), "s").groupBy("consulta", "concepto").agg(F.count(F.lit(1)).alias("prefijos"))
+    return x.join(p, "s").groupBy("consulta", "concepto").agg(F.count(F.lit(1)).alias("prefijos"))
 
 
 @C.add("se6l_recent_hits", "WITH " + _TOP + ", n AS (SELECT max(ultimo_acceso) AS m FROM nodes) SELECT consulta, concepto FROM (SELECT t.consulta, t.concepto, row_number() OVER (PARTITION BY consulta ORDER BY bm25 DESC, concepto) AS r FROM top t JOIN act USING (concepto), n WHERE act.ultimo_acceso >= n.m - INTERVAL 30 DAY) WHERE r <= 5", "nodes")

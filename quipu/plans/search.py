@@ -58,15 +58,6 @@ def hybrid_hits(v: Views) -> DataFrame:
     return fusion.hybrid_hits(v)
 
 
-_HYBRID = _TOP + f""",
-sig AS (SELECT top.consulta, top.concepto, list_distinct({W('k.consulta', 3)}) AS q, {W("replace(a.concepto, '_', ' ')", 3)} AS c, {W('a.sinonimos', 3)} AS s, bm25 / (bm25 + 3) AS b, peso, coalesce(g.n, 0) AS g
-  FROM top JOIN casos_qa k ON k.item_id = top.consulta JOIN act a ON a.concepto = top.concepto LEFT JOIN (SELECT a AS x, count(*) AS n FROM und GROUP BY 1) g ON g.x = top.concepto),
-sc AS (SELECT consulta, concepto, q, c, CASE WHEN len(q) > 0 THEN len(list_intersect(q, s)) / CAST(len(q) AS DOUBLE) ELSE 0 END AS syn,
-  (0.25 * b + 0.08 * CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / CAST(len(q) AS DOUBLE) ELSE 0 END + 0.08 * CASE WHEN len(q) > 0 THEN len(list_intersect(q, s)) / CAST(len(q) AS DOUBLE) ELSE 0 END + 0.10 * peso + 0.02 * least(1.0, g / 20.0)) / 1.54 AS p FROM sig),
-hyb AS (SELECT consulta, concepto, round(CASE WHEN len(list_filter(q, lambda x: NOT list_contains(c, x))) + len(list_filter(c, lambda x: NOT list_contains(q, x))) = 0 THEN 1 / (1 + exp(-(ln(p / (1 - p)) + 2.94)))
-  WHEN syn >= 0.95 THEN 1 / (1 + exp(-(ln(p / (1 - p)) + ln(0.7 / 0.3)))) ELSE p END, 6) AS score FROM sc)"""
-
-
 @C.add("sf1b_bm25_topk", "WITH " + _TOP + " SELECT consulta, concepto, bm25 FROM top WHERE rango <= 5", "nodes")
 def _(v: Views) -> DataFrame:
     return top(v, 5).select("consulta", "concepto", "bm25")
@@ -77,18 +68,12 @@ def _(v: Views) -> DataFrame:
     return top(v, 5).select("consulta", "concepto", F.round(S.bm25_unit(F.col("bm25")), 6).alias("unidad"))
 
 
-@C.add("se6_hybrid_search", "WITH " + _HYBRID + " SELECT consulta, concepto, score FROM (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY score DESC, concepto) AS r FROM hyb) WHERE r <= 5", "nodes edges und")
+@C.add("se6_hybrid_search")  # SQL: flagship.py
 def _(v: Views) -> DataFrame:
     return first_per(hybrid_hits(v), ["consulta"], [F.desc("score"), F.asc("concepto")], 5).select("consulta", "concepto", "score")
 
 
-@C.add(
-    "ag26_recall_mrr",
-    "WITH " + _HYBRID + """, r AS (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY score DESC, concepto) AS r FROM hyb),
-e AS (SELECT k.categoria, r.r FROM casos_qa k LEFT JOIN r ON r.consulta = k.item_id AND r.concepto = lower(k.concepto_esperado) AND r.r <= 5 WHERE concepto_esperado IS NOT NULL)
-SELECT categoria, count(*) AS casos, round(avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall5, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall1, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM e GROUP BY 1""",
-    "nodes edges und",
-)
+@C.add("ag26_recall_mrr")  # SQL: flagship.py
 def _(v: Views) -> DataFrame:
     ranked = first_per(hybrid_hits(v), ["consulta"], [F.desc("score"), F.asc("concepto")], 5).select(F.col("consulta").alias("item_id"), F.col("concepto").alias("esperado"), "rango")
     cases = v.table("casos_qa").where("concepto_esperado is not null").select("item_id", "categoria", F.lower("concepto_esperado").alias("esperado"))
