@@ -70,7 +70,7 @@ def spread_activation(und: DataFrame, seeds: DataFrame, hops: int = 3, least: fl
     concept, keeps what is above `least`, and enters concepts not yet visited from that seed,
     each from its strongest parent (ties: least name).
     """
-    heavy = first_per(und, ["a"], [F.desc("peso"), F.asc("b")], fan).select("a", "b", "peso")
+    heavy = cut(first_per(und, ["a"], [F.desc("peso"), F.asc("b")], fan).select("a", "b", "peso"))
     seen = seeds.select("semilla", "concepto", "activacion", F.lit(0).alias("salto"), F.lit(None).cast("string").alias("padre"))
     front = seen
     for hop in range(1, hops + 1):

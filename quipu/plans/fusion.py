@@ -27,7 +27,7 @@ def typo_hits(v: Views, typos: DataFrame) -> DataFrame:
     return names.join(q.join(typos, "palabra").select("consulta", "parecida").distinct(), "parecida").select("consulta", "concepto")
 
 
-def candidates(v: Views, best: DataFrame, hubs: DataFrame, chain: DataFrame) -> DataFrame:
+def candidates(v: Views, best: DataFrame, hubs: DataFrame, chain: DataFrame, meant: DataFrame) -> DataFrame:
     """consulta, concepto, capas (names of the layers, sorted).
 
     Always: the 50 best by BM25, near words, members of the hubs that are meant, the 50 of greatest cosine, evocation, and the 20
@@ -35,7 +35,7 @@ def candidates(v: Views, best: DataFrame, hubs: DataFrame, chain: DataFrame) ->
     """
     from quipu.plans import memory, search
 
-    named = lambda name: (search.QUERIES | memory.QUERIES)[name](v.spark, v.dir)
+    named = lambda name: (search.C.of | memory.C.of)[name](v)
     found = best.groupBy("consulta").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select("consulta")
     without = lambda rows: rows.join(found, "consulta", "left_anti")
     latent = v.und.where("peso < 0.5").select(F.col("a").alias("de"), F.col("b").alias("concepto"), "peso")
@@ -46,7 +46,7 @@ def candidates(v: Views, best: DataFrame, hubs: DataFrame, chain: DataFrame) ->
         "bm25": best,
         "cerca": named("se6e_near"),
         "hub": hubs,
-        "vector": nearest(nodes, "concepto", query_vectors(v), 50),
+        "vector": nearest(nodes, "concepto", meant, 50),
         "cadena": chain,
         "latente": first_per(reached, ["consulta"], [F.desc("peso"), F.asc("concepto")], 20),
         "prefijo": memory.prefix_hits(v, without(asked(v))),
@@ -85,10 +85,12 @@ def hybrid_hits(v: Views) -> DataFrame:
     """consulta, concepto, capas, score: every candidate with the hybrid score of the ten signals that have data."""
     from quipu.plans import memory, search
 
+    v = v.written()
     best = cut(top(v))
-    hubs = cut(v.dims.withColumnRenamed("dim", "hub_id").join(search.QUERIES["se6b_hub_expansion"](v.spark, v.dir).where("confianza >= 0.25"), "hub_id").groupBy("consulta", "concepto").agg(F.max("confianza").alias("c")))
-    chain = cut(memory.QUERIES["se6m_chain_evocation"](v.spark, v.dir).select(F.col("consulta").cast("bigint").alias("consulta"), "concepto", "activacion"))
-    found = cut(candidates(v, best, hubs, chain))
+    hubs = cut(v.dims.withColumnRenamed("dim", "hub_id").join(search.C.of["se6b_hub_expansion"](v).where("confianza >= 0.25"), "hub_id").groupBy("consulta", "concepto").agg(F.max("confianza").alias("c")))
+    chain = cut(memory.evocation(v, best.where("rango <= 5")).select(F.col("consulta").cast("bigint").alias("consulta"), "concepto", "activacion"))
+    vectors = cut(query_vectors(v))
+    found = cut(candidates(v, best, hubs, chain, vectors))
     pair = ["consulta", "concepto"]
 
     # BM25 of candidates that other layers brought: their postings only
@@ -103,7 +105,7 @@ def hybrid_hits(v: Views) -> DataFrame:
     own = v.active.select("concepto", "peso", T.words(F.translate("concepto", "_", " "), 3).alias("c"), T.words("sinonimos", 3).alias("s"))
     of_node = found.select("concepto").distinct().join(own, "concepto").join(grade, "concepto", "left").join(latent, "concepto", "left")
     of_node = of_node.join(usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), "vector"), "concepto", "left")
-    of_query = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q")).join(query_vectors(v).withColumnRenamed("vector", "vq"), "consulta", "left")
+    of_query = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q")).join(vectors.withColumnRenamed("vector", "vq"), "consulta", "left")
     rows = found.join(scores, pair, "left").join(tags, pair, "left").join(hubs.withColumnRenamed("c", "hub"), pair, "left").join(chain, pair, "left")
     rows = rows.join(themes(v, found, best).withColumn("tema", F.round(F.col("tema") + 1e-9, 6)), pair, "left").join(of_node, "concepto").join(of_query, "consulta")
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))

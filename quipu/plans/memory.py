@@ -240,7 +240,11 @@ SELECT semilla AS consulta, concepto, round(s, 6) AS activacion FROM (SELECT *,
 )
 def _(v: Views) -> DataFrame:
     """Spreading from the five best hits of each query; the five strongest concepts reached."""
-    seeds = cut(top(v, 5).select(F.col("consulta").cast("string").alias("semilla"), "concepto", S.bm25_unit(F.col("bm25")).alias("activacion")))
+    return evocation(v, top(v, 5))
+
+
+def evocation(v: Views, best: DataFrame) -> DataFrame:
+    seeds = cut(best.select(F.col("consulta").cast("string").alias("semilla"), "concepto", S.bm25_unit(F.col("bm25")).alias("activacion")))
     reached = G.spread_activation(v.und, seeds, hops=2).where("salto > 0")
     return first_per(reached, ["semilla"], [F.desc("activacion"), F.asc("concepto")], 5).select(F.col("semilla").alias("consulta"), "concepto", F.round("activacion", 6).alias("activacion"))
 

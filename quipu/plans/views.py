@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quipu.operators.cut import cut
 from quipu.operators.graph import undirected
 from quipu.sources import key, table
 
@@ -38,6 +39,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def written(self) -> Views:
+        """The same views with the nodes and the undirected edges written once, for plans that read them often."""
+        other = Views(self.spark, self.dir)
+        other.__dict__.update(nodes=cut(self.nodes), und=cut(self.und))
+        return other
+
     @cached_property
     def nodes(self) -> DataFrame:
         """One row per concept: its latest version. Weights outside [0, 1] count as 0, no state as activo."""
@@ -124,10 +131,12 @@ class Catalogue:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
+        self.of: dict[str, Callable[[Views], DataFrame]] = {}  # the same on views that are there already
 
     def add(self, name: str, sql: str | None = None, views: str = "") -> Callable:
         def keep(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
             self.queries[name] = lambda spark, d: f(Views(spark, d))
+            self.of[name] = f
             if sql:
                 self.sql[name] = with_views(sql, *views.split()) if views else sql.strip()
             return f
