@@ -79,9 +79,9 @@ def _(v: Views) -> DataFrame:
     return L.consolidate(kept, fresh).select("concepto", F.round("peso", 6).alias("peso"), (F.round("valencia", 6) + 0.0).alias("valencia"), "contenido")
 
 
-@C.add("lc10_cycle_metrics", "SELECT count(*) FILTER (WHERE estado = 'activo') AS activos, count(*) FILTER (WHERE estado = 'dormido') AS dormidos, round(avg(peso), 6) AS peso_medio, (SELECT count(*) FROM edges) AS aristas FROM nodes", "nodes edges")
+@C.add("lc10_cycle_metrics", "SELECT count(*) FILTER (WHERE estado = 'activo') AS activos, count(*) FILTER (WHERE estado = 'dormido') AS dormidos, round(avg(peso) + 1e-9, 6) AS peso_medio, (SELECT count(*) FROM edges) AS aristas FROM nodes", "nodes edges")
 def _(v: Views) -> DataFrame:
-    n = v.nodes.agg(F.count_if(F.col("estado") == "activo").alias("activos"), F.count_if(F.col("estado") == "dormido").alias("dormidos"), F.round(F.avg("peso"), 6).alias("peso_medio"))
+    n = v.nodes.agg(F.count_if(F.col("estado") == "activo").alias("activos"), F.count_if(F.col("estado") == "dormido").alias("dormidos"), F.round(F.avg("peso") + 1e-9, 6).alias("peso_medio"))
     return n.withColumn("aristas", F.lit(v.edges.count()).cast("bigint"))
 
 

@@ -60,7 +60,8 @@ def _(v: Views) -> DataFrame:
     rows = usable(v.table("nodos"), "concepto")
     centre = D.weighted_mean(rows.join(v.nodes.select(F.col("concepto").alias("k"), "categoria"), "k").where("categoria between 1 and 11"), ["categoria"], "vector", F.lit(1.0), SIZE)
     q = cut(query_vectors(v).withColumnRenamed("vector", "q"))
-    near = q.crossJoin(F.broadcast(centre)).select("consulta", "categoria", F.round(F.greatest(F.lit(0.0), S.cosine(F.col("q"), F.col("vector"))), 6).alias("s"))  # eleven rows
+    every = q.withColumn("categoria", F.explode(F.sequence(F.lit(1), F.lit(11))))
+    near = every.join(F.broadcast(centre), "categoria").select("consulta", "categoria", F.round(F.greatest(F.lit(0.0), S.cosine(F.col("q"), F.col("vector"))), 6).alias("s"))
     two = first_per(near, ["consulta"], [F.desc("s"), F.asc("categoria")], 2).select("consulta", "categoria")
     most = first_per(signatures(v), ["categoria"], [F.desc("afinidad"), F.asc("k")], 160).select("categoria", F.col("k").alias("concepto"))
     met = two.join(most, "categoria").select("consulta", "concepto").distinct().join(q, "consulta").join(node_vectors(v), "concepto")

@@ -273,10 +273,10 @@ def similar_words(ours: DataFrame, theirs: DataFrame, least: float = 0.75) -> Da
     sized = ours.select(F.col("t").alias("w")).distinct().withColumn("n", n).withColumn("k", k)
     parts = sized.withColumn("p", F.expr("floor(n / (k + 1))")).select("w", "n", "k", F.explode(F.expr("transform(sequence(0, k), i -> struct(cast(i * p as int) as at, if(i < k, substring(w, int(i * p) + 1, int(p)), substring(w, int(i * p) + 1)) as x))")).alias("y"))
     mine = parts.select(F.col("w").alias("t"), "k", "y.x", F.explode(F.expr("sequence(greatest(0, y.at - k), y.at + k)")).alias("at")).where("x <> ''")
-    lengths = mine.select(F.length("x").alias("z")).distinct().agg(F.collect_set("z").alias("zs"))  # as many as words have lengths
-    other = theirs.select("u").distinct().crossJoin(F.broadcast(lengths))
+    lengths = [r[0] for r in mine.select(F.length("x")).distinct().collect()]  # fewer than a long word has characters
+    zs = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
     spots = F.explode(F.expr("flatten(transform(zs, z -> transform(sequence(0, greatest(0, length(u) - z)), i -> struct(substring(u, i + 1, z) as x, i as at))))"))
-    yours = other.select("u", spots.alias("y")).select("u", "y.x", "y.at")
+    yours = theirs.select("u").distinct().withColumn("zs", zs).select("u", spots.alias("y")).select("u", "y.x", "y.at")
     met = mine.join(yours, ["x", "at"]).select("t", "u").distinct()
     return met.withColumn("s", T.similarity(F.col("t"), F.col("u"))).where(F.col("s") >= least)
 

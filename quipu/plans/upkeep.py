@@ -69,7 +69,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     """One row of sizes, to be appended to a table of samples."""
-    one = lambda rows, *what: rows.agg(*what)
+    one = lambda rows, *what: rows.agg(*what).withColumn("_k", F.lit(1))
     parts = [
         one(v.nodes, F.count(F.lit(1)).alias("nodos")),
         one(v.edges, F.count(F.lit(1)).alias("aristas"), F.round(F.median("peso"), 6).alias("peso_mediano")),
@@ -79,8 +79,8 @@ def _(v: Views) -> DataFrame:
     ]
     row = parts[0]
     for p in parts[1:]:
-        row = row.crossJoin(p)  # one row each
-    return row
+        row = row.join(p, "_k")  # one row each
+    return row.drop("_k")
 
 
 @C.add("str7_context_window", "SELECT user_id, string_agg(event_id, ',' ORDER BY ts, event_id) AS eventos, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1")
