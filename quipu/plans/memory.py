@@ -13,6 +13,7 @@ from quipu.functions import text as T
 from quipu.operators import graph as G
 from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
+from quipu.operators.skew import heavy_keys, join_with_heavy
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
 from quipu.plans.vectors import _QV, _VEC, query_vectors, usable
@@ -170,8 +171,19 @@ def _(v: Views) -> DataFrame:
 
 @C.add("jn27_resonant_partners", "SELECT semilla, concepto FROM (SELECT x.concepto AS semilla, y.concepto, row_number() OVER (PARTITION BY x.concepto ORDER BY count(*) DESC, y.concepto) AS r FROM dims x JOIN dims y USING (dim) WHERE x.concepto <> y.concepto GROUP BY 1, 2) WHERE r <= 30", "dims")
 def _(v: Views) -> DataFrame:
-    n = v.dims.withColumnRenamed("concepto", "semilla").join(v.dims, "dim").where("semilla <> concepto").groupBy("semilla", "concepto").agg(F.count(F.lit(1)).alias("n"))
-    return first_per(n, ["semilla"], [F.desc("n"), F.asc("concepto")], 30).select("semilla", "concepto")
+    """The 30 nodes that share most tags with a node. Nodes of the same tags are one class, and classes meet, so the members of a large
+    hub are not paired: of a class its first 31 names are enough for anyone."""
+    k = 30
+    member = cut(v.dims.groupBy("concepto").agg(F.array_join(F.array_sort(F.collect_set("dim")), "|").alias("clase")))
+    of_class = member.groupBy("clase").agg(F.min("concepto").alias("uno"))
+    tags = of_class.join(v.dims.withColumnRenamed("concepto", "uno"), "uno").select("clase", "dim")
+    shared = tags.join(tags.withColumnRenamed("clase", "otra"), "dim").groupBy("clase", "otra").agg(F.count(F.lit(1)).alias("n"))
+    names = first_per(member, ["clase"], [F.asc("concepto")], k + 1).select(F.col("clase").alias("otra"), "concepto")
+    best = first_per(shared.join(names, "otra"), ["clase"], [F.desc("n"), F.asc("concepto")], k + 1)
+    offers = best.groupBy("clase").agg(F.array_sort(F.collect_list(F.struct("rango", "concepto"))).alias("o"))
+    mine = F.slice(F.filter("o", lambda x: x["concepto"] != F.col("semilla")), 1, k)
+    given = join_with_heavy(member.withColumnRenamed("concepto", "semilla"), cut(offers), "clase", heavy_keys(member, "clase", member.count()))
+    return given.select("semilla", F.explode(mine).alias("x")).select("semilla", "x.concepto")
 
 
 @C.add("jn28_nearest_join", "SELECT a.event_id, min(abs(epoch_us(b.ts) - epoch_us(a.ts))) AS distancia FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_type = 'purchase' WHERE a.event_type = 'view' GROUP BY 1")
