@@ -125,7 +125,21 @@ pares AS (
   WHERE n_ab >= 9 AND n_ab * tot.n >= CASE ab.ambito WHEN 'contenido' THEN 6 ELSE 2 END * a.n * b.n)
 """
 
+_P8 = """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, n - 299)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS nuevo FROM w WHERE h IN (SELECT h FROM s)),
+r AS (SELECT doc_id, i, sum(nuevo) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+tramos AS (SELECT doc_id, min(i) AS inicio, max(i) + 300 AS fin FROM r GROUP BY doc_id, k)
+"""
+
 SQL = {
+    "p8_found": _P8 + "SELECT doc_id, inicio, fin FROM tramos",
+    "p8_share": _P8
+    + """, t AS (SELECT doc_id, count(*) AS tramos, CAST(sum(fin - inicio) AS BIGINT) AS compartidos FROM tramos GROUP BY 1)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS largo, coalesce(t.tramos, 0) AS tramos, coalesce(compartidos, 0) AS compartidos, round(CASE WHEN length(d.text) > 0 THEN coalesce(compartidos, 0) / CAST(length(d.text) AS DOUBLE) ELSE 0.0 END, 6) AS parte
+FROM documents d LEFT JOIN t USING (doc_id)""",
     "p2_found": """
 SELECT origen, destino FROM (
   SELECT origen, destino, row_number() OVER (PARTITION BY origen ORDER BY w DESC, destino) AS r FROM (
