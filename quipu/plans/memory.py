@@ -13,7 +13,7 @@ from quipu.functions import text as T
 from quipu.operators import graph as G
 from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
-from quipu.operators.skew import heavy_keys, join_with_heavy
+from quipu.operators.skew import heavy_keys, join_checked, join_with_heavy
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
 from quipu.plans.vectors import _QV, _VEC, query_vectors, usable
@@ -210,9 +210,11 @@ SELECT DISTINCT item_id AS consulta, x.concepto FROM d JOIN df ON df.t = a JOIN
 )
 def _(v: Views) -> DataFrame:
     """Two words that follow each other in the query, at most 15 words apart in the content."""
-    p = v.nodes.select("concepto", F.posexplode(T.words("contenido", 3)).alias("i", "t")).groupBy("t", "concepto").agg(F.collect_list("i").alias("i"))
     d = v.table("casos_qa").select(F.col("item_id").alias("consulta"), T.words("consulta", 3).alias("w")).where("size(w) > 1")
     d = d.select("consulta", F.inline(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b")))).where("a <> b").distinct()
+    asked_ = d.select(F.explode(F.array("a", "b")).alias("t")).distinct()  # only words that a query asks for leave the contents
+    places = v.nodes.select("concepto", F.posexplode(T.words("contenido", 3)).alias("i", "t"))
+    p = join_checked(places, asked_, "t", "left_semi").groupBy("t", "concepto").agg(F.collect_list("i").alias("i"))
     # pairs of words meet the contents where these lie, then the queries that ask for them
     ab = F.broadcast(d.select("a", "b").distinct())
     both = p.select(F.col("t").alias("a"), "concepto", F.col("i").alias("x")).join(ab, "a").join(p.select(F.col("t").alias("b"), "concepto", F.col("i").alias("y")), ["b", "concepto"])

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quipu.operators.cut import cut
-from quipu.operators.graph import undirected
 from quipu.sources import key, table
 
 #: Categories by id, with their decay rates.
@@ -82,7 +81,10 @@ class Views:
 
     @cached_property
     def und(self) -> DataFrame:
-        return undirected(self.edges)
+        """a, b, peso: both directions of every edge, the greatest weight; from the rows at once, so they are shuffled once."""
+        rows = self.table("sinapsis").where("peso >= 0 and peso <= 1 and not isnan(peso)").select(key("origen").alias("o"), key("destino").alias("d"), "peso").where("o is not null and d is not null and o <> d")
+        ends = F.inline(F.array(F.struct(F.col("o").alias("a"), F.col("d").alias("b")), F.struct(F.col("d").alias("a"), F.col("o").alias("b"))))
+        return rows.select("peso", ends).groupBy("a", "b").agg(F.max("peso").alias("peso"))
 
     @cached_property
     def dims(self) -> DataFrame:
