@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from quipu.functions import score as S
 
 
-def pair_counts(rows: DataFrame, tokens: Column, first: int = 30) -> tuple[DataFrame, DataFrame, int]:
-    """Pairs a < b among the first `first` distinct tokens of a record: (a, b, n), and (term, df) of all
-    distinct tokens, and the number of records of two tokens or more. A record gives 435 pairs at most;
+def pair_counts(rows: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs a < b of the distinct tokens of a record: (a, b, n), and (term, df) of the tokens, and the number of
+    records of two tokens or more. A token and those after it are spelled out at a time, never all pairs of a record;
     both counts are combined before the shuffle."""
     lists = rows.select(F.array_distinct(tokens).alias("t")).where(F.size("t") >= 2)
-    some = F.array_sort(F.slice("t", 1, first))
-    nested = F.transform(some, lambda x, i: F.transform(F.slice(some, i + 2, F.size(some)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = lists.select(F.explode(F.flatten(nested)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    each = lists.select(F.array_sort("t").alias("t")).select("t", F.posexplode("t").alias("i", "a"))
+    after = each.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
+    pairs = after.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     df = lists.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return pairs, df, lists.count()
 
@@ -123,10 +123,10 @@ def retrofit(vectors: DataFrame, und: DataFrame, size: int, pull: float = 0.2) -
     return vectors.join(mean, "k", "left").select("k", F.when(F.col("m").isNull(), F.transform("vector", lambda x: x.cast("double"))).otherwise(mixed).alias("vector"))
 
 
-def signature(tokens: Column, bits: int = 2048, hashes: int = 4, most: int = 50) -> Column:
-    """Set bits of a sparse binary signature: `hashes` md5 places for each of the first `most` tokens."""
+def signature(tokens: Column, bits: int = 2048, hashes: int = 4) -> Column:
+    """Set bits of a sparse binary signature: `hashes` md5 places for each token."""
     place = lambda t, k: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("#", t, k)), 1, 8), 16, 10).cast("bigint"), F.lit(bits))
-    some = F.slice(F.array_distinct(tokens), 1, most)
+    some = F.array_distinct(tokens)
     by = lambda k: lambda t: place(t, F.lit(str(k)))
     places = [F.transform(some, by(k)) for k in range(hashes)]
     return F.array_sort(F.array_distinct(F.concat(*places)))

@@ -23,8 +23,8 @@ SIZE = 100
 _CO = f"""tp AS (SELECT concepto, t, min(i) AS i FROM (SELECT concepto, unnest({W('contenido', 3)}) AS t, generate_subscripts({W('contenido', 3)}, 1) AS i FROM nodes) GROUP BY 1, 2),
 ok AS (SELECT concepto FROM tp GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM ok),
 df AS (SELECT t, count(*) AS df FROM tp JOIN ok USING (concepto) GROUP BY 1),
-f30 AS (SELECT concepto, t FROM (SELECT *, row_number() OVER (PARTITION BY concepto ORDER BY i) AS r FROM tp JOIN ok USING (concepto)) WHERE r <= 30),
-co AS (SELECT x.t AS a, y.t AS b, count(*) AS c FROM f30 x JOIN f30 y ON x.concepto = y.concepto AND x.t < y.t GROUP BY 1, 2),
+al AS (SELECT concepto, t FROM tp JOIN ok USING (concepto)),
+co AS (SELECT x.t AS a, y.t AS b, count(*) AS c FROM al x JOIN al y ON x.concepto = y.concepto AND x.t < y.t GROUP BY 1, 2),
 np AS (SELECT a, b, c, x.df AS na, y.df AS nb, n.n, CASE WHEN c >= n.n THEN 1.0 ELSE greatest(-1.0, least(1.0, log2((c / CAST(n.n AS DOUBLE)) / ((x.df / CAST(n.n AS DOUBLE)) * (y.df / CAST(n.n AS DOUBLE)))) / -log2(c / CAST(n.n AS DOUBLE)))) END AS npmi
   FROM co JOIN df x ON x.t = a JOIN df y ON y.t = b, n WHERE c >= 3 AND x.df >= 3 AND y.df >= 3)"""
 
@@ -234,7 +234,7 @@ def _(v: Views) -> DataFrame:
 
 
 _SIG = f"""sg AS (SELECT concepto, list_sort(list_distinct(list(p))) AS b FROM (SELECT concepto, CAST(('0x' || left(md5(t || '#' || k), 8)) AS BIGINT) % 2048 AS p FROM
-  (SELECT concepto, t FROM (SELECT *, row_number() OVER (PARTITION BY concepto ORDER BY i) AS r FROM (SELECT concepto, t, min(i) AS i FROM (SELECT concepto, unnest({W('contenido', 4)}) AS t, generate_subscripts({W('contenido', 4)}, 1) AS i FROM nodes) GROUP BY 1, 2)) WHERE r <= 50), (VALUES ('0'), ('1'), ('2'), ('3')) ks(k)) GROUP BY 1)"""
+  (SELECT DISTINCT concepto, unnest({W('contenido', 4)}) AS t FROM nodes), (VALUES ('0'), ('1'), ('2'), ('3')) ks(k)) GROUP BY 1)"""
 
 
 @C.add("ve5_binary_signature", "WITH " + _SIG + " SELECT concepto, len(b) AS bits, b[1] AS primero, b[len(b)] AS ultimo FROM sg", "nodes")
