@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quipu.functions import score as S
 from quipu.functions import text as T
 from quipu.operators.cut import cut
+from quipu.operators.distribution import normalised
 from quipu.operators.graph import first_per, neighbour_counts
 from quipu.operators.search import bm25, nearest
 from quipu.plans.search import asked, index, top
@@ -104,8 +105,8 @@ def hybrid_hits(v: Views) -> DataFrame:
     grade = neighbour_counts(v.und).select(F.col("a").alias("concepto"), F.col("n").alias("grado"))
     own = v.active.select("concepto", "peso", T.words(F.translate("concepto", "_", " "), 3).alias("c"), T.words("sinonimos", 3).alias("s"))
     of_node = found.select("concepto").distinct().join(own, "concepto").join(grade, "concepto", "left").join(latent, "concepto", "left")
-    of_node = of_node.join(usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), "vector"), "concepto", "left")
-    of_query = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q")).join(vectors.withColumnRenamed("vector", "vq"), "consulta", "left")
+    of_node = of_node.join(usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), normalised(F.col("vector")).alias("vector")), "concepto", "left")
+    of_query = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q")).join(vectors.select("consulta", normalised(F.col("vector")).alias("vq")), "consulta", "left")
     rows = found.join(scores, pair, "left").join(tags, pair, "left").join(hubs.withColumnRenamed("c", "hub"), pair, "left").join(chain, pair, "left")
     rows = rows.join(themes(v, found, best).withColumn("tema", F.round(F.col("tema") + 1e-9, 6)), pair, "left").join(of_node, "concepto").join(of_query, "consulta")
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))
@@ -121,5 +122,5 @@ def hybrid_hits(v: Views) -> DataFrame:
         "hub": or_0(F.least(F.lit(1.0), 2 * F.col("hub"))),
     }
     exact = F.size(F.array_except("q", "c")) + F.size(F.array_except("c", "q")) == 0
-    cos = F.when(F.col("vector").isNotNull() & F.col("vq").isNotNull(), F.greatest(F.lit(0.0), S.cosine(F.col("vq"), F.col("vector")))).otherwise(0.0)
+    cos = F.when(F.col("vector").isNotNull() & F.col("vq").isNotNull(), F.greatest(F.lit(0.0), S.dot(F.col("vq"), F.col("vector")))).otherwise(0.0)
     return rows.select(*pair, "capas", F.round(S.hybrid(signals, exact, cos), 6).alias("score"))

@@ -200,8 +200,11 @@ def _(v: Views) -> DataFrame:
 SELECT consulta, concepto, coseno FROM (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY coseno DESC, concepto) AS r FROM m) WHERE r <= 10""", "nodes")
 def _(v: Views) -> DataFrame:
     """Candidates by BM25, ranked by the cosine of query and node vectors."""
-    near = hits(v).join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta").join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto")
-    scored = near.select("consulta", "concepto", F.round(S.cosine(F.col("q"), F.col("vector")), 6).alias("coseno"))
+    # norms are taken once per vector, not per pair
+    asked_ = query_vectors(v).select("consulta", D.normalised(F.col("vector")).alias("q"))
+    nodes = usable(v.table("nodos"), "concepto").select(F.col("k").alias("concepto"), D.normalised(F.col("vector")).alias("u"))
+    near = hits(v).select("consulta", "concepto").join(asked_, "consulta").join(nodes, "concepto")
+    scored = near.select("consulta", "concepto", F.round(S.dot(F.col("q"), F.col("u")), 6).alias("coseno"))
     return first_per(scored, ["consulta"], [F.desc("coseno"), F.asc("concepto")], 10).select("consulta", "concepto", "coseno")
 
 
