@@ -13,6 +13,7 @@ from quipu.functions import text as T
 from quipu.operators import graph as G
 from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
+from quipu.operators.overlap import most_shared
 from quipu.operators.skew import heavy_keys, join_checked, join_with_heavy
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
@@ -158,8 +159,7 @@ def _(v: Views) -> DataFrame:
     w = v.nodes.select("concepto", F.explode(F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))).alias("t"))
     # only words of names leave the documents
     m = v.table("documents").select("doc_id", F.explode(F.array_distinct(T.words("text", 4))).alias("t"))
-    j = m.join(w, "t").groupBy("doc_id", "concepto").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return first_per(j, ["doc_id"], [F.desc("n"), F.asc("concepto")], 10).select("doc_id", "concepto", "n")
+    return most_shared(m, w, "doc_id", "concepto", 10)
 
 
 @C.add("jn24_latest_match", "SELECT e.event_id, max(s.event_id) AS previa FROM events e JOIN events s ON s.user_id = e.user_id AND s.event_type = e.event_type AND s.ts = (SELECT max(ts) FROM events z WHERE z.user_id = e.user_id AND z.event_type = e.event_type AND z.ts < e.ts) GROUP BY 1")
