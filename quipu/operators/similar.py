@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.cut import cut
+from quipu.operators.skew import join_checked
+
+#: A set's elements are marked in MARKS words of 64 bits; sets of one element that meet in a task, at most AT_ONCE on one side.
+MARKS, AT_ONCE = 4, 16_000
+
+
+def marks(items: Column) -> list[Column]:
+    """m0..: bits of the elements' hashes. A bit that one of two sets has and the other lacks is an element of which that holds too."""
+    hashes = F.transform(items, lambda x: F.xxhash64(x))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda k: lambda s, h: s.bitwiseOR(F.when(F.shiftright(h, 6).bitwiseAND(F.lit(MARKS - 1)) == k, bit(h)).otherwise(zero))
+    return [F.aggregate(hashes, zero, of(k)).alias(f"m{k}") for k in range(MARKS)]
+
+
+def apart(x: str, y: str) -> Column:
+    """Elements that only one of two sets holds, by their marks: the true number or less."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}m{k}").bitwiseXOR(F.col(f"{y}m{k}"))) for k in range(MARKS)])
+
+
+def prefixes(rows: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """rows: i, c (a set). The first size - ceil(least * size) + 1 elements of each, rarest first: t (its hash), df, i, n, marks."""
+    items = join_checked(rows.select("i", F.explode("c").alias("t")), df, "t", "left")
+    sets = items.groupBy("i").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("e"))
+    first = F.slice("e", 1, (F.size("e") - F.ceil(F.lit(least) * F.size("e") - 1e-9) + 1).cast("int"))
+    p = sets.select("i", F.size("e").alias("n"), *marks(F.col("e.t")), F.explode(first).alias("p"))
+    return p.select(F.xxhash64("p.t").alias("t"), "p.df", "i", "n", *[f"m{k}" for k in range(MARKS)])
+
+
+def meeting(x: DataFrame, y: DataFrame, least: float, other: Column | None = None) -> DataFrame:
+    """x, y: prefixes. Pairs of their sets (x, y) whose Jaccard may be `least`: by size and marks, which are compared where the sets
+    meet, so that only pairs that are alike leave it. Sets of a common element meet in parts."""
+    named = lambda rows, a: rows.select("t", "salt", *[F.col(c).alias(f"{a}{c}") for c in rows.columns if c not in ("t", "df", "salt")])
+    parts = F.ceil((F.col("df") + 1) / AT_ONCE).cast("int")
+    xs = named(x.withColumn("salt", F.pmod("i", parts).cast("int")), "x")
+    ys = named(y.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))), "y")
+    close = (F.least("xn", "yn") >= F.greatest("xn", "yn") * (least - 1e-9)) & (apart("x", "y") <= (F.col("xn") + F.col("yn")) * ((1 - least) / (1 + least)) + 1e-6)
+    return xs.join(ys, ["t", "salt"]).where(close if other is None else close & other).select(F.col("xi").alias("x"), F.col("yi").alias("y")).distinct()
+
 
 def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     """Pairs a < b of keys whose sets have a Jaccard of `least` or more: a, b, jaccard.
@@ -17,20 +57,14 @@ def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     while they meet; the pairs of their keys come out at the end.
     """
     keyed = sets.where(F.size("s") > 0).withColumn("c", F.array_sort("s")).select("k", "c")
-    one = keyed.groupBy("c").agg(F.min("k").alias("rep"))
-    items = one.select("rep", F.size("c").alias("n"), F.explode("c").alias("t"))
-    df = items.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("df", "t")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    x = prefix.select("t", F.col("rep").alias("x"), F.col("n").alias("nx"))
-    y = prefix.select("t", F.col("rep").alias("y"), F.col("n").alias("ny"))
-    close = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= F.greatest("nx", "ny") * (least - 1e-9))
-    cand = x.join(y, "t").where(close).select("x", "y").distinct()
-    full = one.select("rep", "c")
-    both = cand.join(full.select(F.col("rep").alias("x"), F.col("c").alias("cx")), "x").join(full.select(F.col("rep").alias("y"), F.col("c").alias("cy")), "y")
+    one = cut(keyed.groupBy("c").agg(F.sort_array(F.collect_list("k")).alias("ks")).withColumn("i", F.monotonically_increasing_id()))
+    df = cut(one.select(F.explode("c").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")))
+    p = cut(prefixes(one, df, least))
+    cand = meeting(p, p, least, F.col("xi") < F.col("yi"))
+    of = lambda a: one.select(F.col("i").alias(a), F.col("c").alias(f"c{a}"), F.col("ks").alias(f"k{a}"))
+    both = cand.join(of("x"), "x").join(of("y"), "y")
     common = F.size(F.array_intersect("cx", "cy"))
-    scored = both.withColumn("jaccard", common / (F.size("cx") + F.size("cy") - common)).where(F.col("jaccard") >= least - 1e-12).select("x", "y", "jaccard")
-    scored = scored.unionByName(one.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("jaccard")))
-    member = keyed.join(one, "c").select("rep", "k")
-    pairs = scored.join(member.select(F.col("rep").alias("x"), F.col("k").alias("p")), "x").join(member.select(F.col("rep").alias("y"), F.col("k").alias("q")), "y")
-    return pairs.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard").distinct()
+    scored = both.select("kx", "ky", (common / (F.size("cx") + F.size("cy") - common)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
+    pairs = scored.select(F.explode("kx").alias("p"), "ky", "jaccard").select("p", F.explode("ky").alias("q"), "jaccard")
+    same = one.where("size(ks) > 1").select(F.posexplode("ks").alias("j", "p"), "ks").select("p", F.explode(F.expr("slice(ks, j + 2, size(ks))")).alias("q"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(same).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
