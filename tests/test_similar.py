@@ -15,3 +15,12 @@ def test_common_elements_meet_in_parts(spark, monkeypatch, at_once):
     df = spark.createDataFrame(sets, "k int, s array<string>")
     want = sorted((a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.4)
     assert [(a, b) for a, b, _ in sorted(map(tuple, similar.jaccard_join(df, 0.4).collect()))] == want
+
+
+def test_only_alike_sets_leave_the_place_where_they_meet(spark):
+    """All share a common element of their prefixes, so each pair met, was shuffled and compared before."""
+    sets = spark.createDataFrame([(i, ["comun", *[f"{i}-{j}" for j in range(6)]]) for i in range(100)] + [(100, ["comun", *[f"7-{j}" for j in range(5)]])], "i bigint, c array<string>")
+    df = spark.createDataFrame([("comun", 1)], "t string, df bigint")
+    p = similar.prefixes(sets, df, 0.4)
+    met = similar.meeting(p, p, 0.4, F.col("xi") < F.col("yi"))
+    assert (7, 100) in rows(met) and met.count() < 10
