@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
+from quipu.operators.cut import cut
 from quipu.operators.graph import first_per
+from quipu.operators.similar import meeting, prefixes
 from quipu.plans.relational import W
 from quipu.plans.search import _IDX, _TOP, asked, hits, top
 from quipu.plans.views import Catalogue, Views
@@ -39,33 +41,28 @@ def exact_names(v: Views) -> DataFrame:
     return phrases(v).select("consulta", F.col("clave").alias("concepto")).join(v.nodes.select("concepto", "estado"), "concepto")
 
 
-def alike_names(v: Views, least: float) -> DataFrame:
-    """consulta, concepto, estado, s: trigram Jaccard of `least` or more of a name asked for and a node's. Rarest
+def alike_names(v: Views, least: float, asked: DataFrame | None = None) -> DataFrame:
+    """consulta, concepto, estado, s: trigram Jaccard of `least` or more of a name asked for (or one of those given) and a node's. Rarest
     trigrams first, two such sets share one of their first size - ceil(least * size) + 1, so only those meet."""
-    ours = phrases(v).select("consulta", T.trigrams("clave").alias("g")).where("g[0] <> ''")
-    theirs = v.nodes.select("concepto", "estado", T.trigrams("concepto").alias("g")).where("g[0] <> ''")
-    df = theirs.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(rows: DataFrame, name: str) -> DataFrame:
-        items = rows.select(name, F.size("g").alias("n"), F.explode("g").alias("t")).join(df, "t", "left")
-        ranked = items.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "t")))
-        return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("t", name, F.col("n").alias(f"n_{name}"))
-
-    close = F.least("n_consulta", "n_concepto") >= F.greatest("n_consulta", "n_concepto") * (least - 1e-9)
-    met = prefix(ours, "consulta").join(prefix(theirs, "concepto"), "t").where(close).select("consulta", "concepto").distinct()
-    both = met.join(ours, "consulta").join(theirs.withColumnRenamed("g", "h"), "concepto")
+    numbered = lambda rows, c: cut(rows.withColumn("c", T.trigrams(c)).where("c[0] <> ''").withColumn("i", F.monotonically_increasing_id()))
+    ours = numbered((phrases(v) if asked is None else asked).select("consulta", "clave"), "clave")
+    theirs = numbered(v.nodes.select("concepto", "estado"), "concepto")
+    df = cut(theirs.select(F.explode("c").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")))
+    met = meeting(prefixes(ours, df, least), prefixes(theirs, df, least), least)
+    both = met.join(ours.select(F.col("i").alias("x"), "consulta", F.col("c").alias("g")), "x").join(theirs.select(F.col("i").alias("y"), "concepto", "estado", F.col("c").alias("h")), "y")
     return both.select("consulta", "concepto", "estado", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("s")).where(F.col("s") >= least)
 
 
-def phrase_hits(v: Views) -> DataFrame:
+def phrase_hits(v: Views, asked: DataFrame | None = None) -> DataFrame:
     """consulta, concepto, peso of active nodes whose content holds the whole name with blanks. Only contents that hold the rarest inner
     word of it are read; a name of one or two words may begin or end inside a word, and is sought by that."""
+    names = phrases(v) if asked is None else asked
     terms = v.active.select("concepto", F.explode(F.array_distinct(F.split(F.lower(T.text("contenido")), " "))).alias("t"))
     df = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    inner = phrases(v).withColumn("w", F.split("frase", " ")).where("size(w) > 2").select("consulta", "frase", F.explode(F.expr("slice(w, 2, size(w) - 2)")).alias("t"))
+    inner = names.withColumn("w", F.split("frase", " ")).where("size(w) > 2").select("consulta", "frase", F.explode(F.expr("slice(w, 2, size(w) - 2)")).alias("t"))
     rare = inner.join(df, "t").groupBy("consulta", "frase").agg(F.min_by("t", F.struct("df", "t")).alias("t"))
     # a short name is looked for among the words themselves: those that end with its first and begin with its last part
-    short = phrases(v).withColumn("w", F.split("frase", " ")).where("size(w) < 3").select("consulta", "frase", F.element_at("w", -1).alias("x"))
+    short = names.withColumn("w", F.split("frase", " ")).where("size(w) < 3").select("consulta", "frase", F.element_at("w", -1).alias("x"))
     starts = df.select("t", F.explode(F.expr("transform(sequence(1, length(t)), i -> substring(t, 1, i))")).alias("x"))
     inside = df.select("t", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(t)), i -> transform(sequence(i, length(t)), j -> substring(t, i, j - i + 1)))))")).alias("x"))
     one, two = short.where(~F.contains("frase", F.lit(" "))), short.where(F.contains("frase", F.lit(" ")))
@@ -76,12 +73,14 @@ def phrase_hits(v: Views) -> DataFrame:
 
 
 def _staged(v: Views, least: float, every_state: bool) -> DataFrame:
-    exact = exact_names(v)
-    alike = alike_names(v, least)
+    # a stage is for the names that those before it leave without a row
+    names = cut(phrases(v))
+    one = cut(names.select("consulta", F.col("clave").alias("concepto")).join(v.nodes.select("concepto", "estado"), "concepto").select("consulta", "concepto", "estado", F.lit(1.0).alias("s"), F.lit(1).alias("etapa")))
+    left = cut(names.join(one, "consulta", "left_anti"))
+    alike = alike_names(v, least, left)
     alike = alike if every_state else alike.where("estado = 'activo'")
-    one = exact.select("consulta", "concepto", "estado", F.lit(1.0).alias("s"), F.lit(1).alias("etapa"))
-    two = alike.select("consulta", "concepto", "estado", "s", F.lit(2).alias("etapa"))
-    three = phrase_hits(v).select("consulta", "concepto", F.lit("activo").alias("estado"), (F.col("peso") - 1).alias("s"), F.lit(3).alias("etapa"))
+    two = cut(first_per(alike, ["consulta"], [F.desc("s"), F.asc("concepto")], 1).select("consulta", "concepto", "estado", "s", F.lit(2).alias("etapa")))
+    three = phrase_hits(v, cut(left.join(two, "consulta", "left_anti"))).select("consulta", "concepto", F.lit("activo").alias("estado"), (F.col("peso") - 1).alias("s"), F.lit(3).alias("etapa"))
     best = first_per(one.unionByName(two).unionByName(three), ["consulta"], [F.asc("etapa"), F.desc("s"), F.asc("concepto")], 1)
     return best if every_state else best.where("etapa > 1 or estado <> 'dormido'")
 
