@@ -136,6 +136,28 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
 
 
+def _within(radius: int, width: int):
+    """Pairs p < q of a band's words within `radius`, of which no band before it has equal bits."""
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        word = np.sort(t.column("word").to_numpy())
+        bare, mask, p, q = word.view(np.uint64), np.uint64((1 << width) - 1), [], []
+        step = max(1, 4_000_000 // max(1, len(word)))
+        for at in range(0, len(word), step):
+            x, y = np.nonzero(np.bitwise_count(bare[at : at + step, None] ^ bare[None, at:]) <= radius)
+            later = y > x
+            p.append(x[later] + at)
+            q.append(y[later] + at)
+        p, q = (np.concatenate(z) if z else np.zeros(0, int) for z in (p, q))
+        gap = bare[p] ^ bare[q]
+        first = np.ones(len(p), dtype=bool)
+        for i in range(keys[0].as_py()):
+            first &= (gap >> np.uint64(i * width)) & mask != 0
+        return pa.table({"p": word[p[first]], "q": word[q[first]], "distancia": np.bitwise_count(gap[first]).astype(np.int32)})
+
+    return run
+
+
 def near_by_hamming(rows: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     """rows: k, word (bigint of `bits` bits). Pairs a < b within `radius` bits: a, b, distancia. Exact.
 
@@ -147,9 +169,7 @@ def near_by_hamming(rows: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     one = rows.where("word is not null").groupBy("word").agg(F.min("k").alias("rep"))
     cut = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("word", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bands))))
     banded = one.select("word", cut.alias("x")).select("word", "x.i", "x.v")
-    l, r = banded.withColumnRenamed("word", "p"), banded.withColumnRenamed("word", "q")
-    cand = l.join(r, ["i", "v"]).where("p < q").select("p", "q").distinct()
-    near = cand.withColumn("distancia", F.bit_count(F.col("p").bitwiseXOR(F.col("q")))).where(F.col("distancia") <= radius)
+    near = banded.groupBy("i", "v").applyInArrow(_within(radius, width), "p bigint, q bigint, distancia int")
     near = near.unionByName(one.select(F.col("word").alias("p"), F.col("word").alias("q"), F.lit(0).alias("distancia")))
     member = rows.where("word is not null").select("k", "word")
     pairs = near.join(member.select(F.col("word").alias("p"), F.col("k").alias("x")), "p").join(member.select(F.col("word").alias("q"), F.col("k").alias("y")), "q")
