@@ -71,3 +71,27 @@ def nearest(nodes: DataFrame, key: str, asked: DataFrame, n: int) -> DataFrame:
 
     scored = nodes.select(key, "vector").mapInPandas(run, f"consulta {kind}, {key} string, coseno double").where("coseno > 0")
     return first_per(scored, ["consulta"], [F.desc("coseno"), F.asc(key)], n).select("consulta", key, "coseno")
+
+
+def greatest_cosine(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """nodes: quien (the queries that meet the node), vector; asked: consulta, vector, a batch that goes to every task. Out: consulta,
+    c, the greatest cosine of a query and a node that it meets."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    batch = asked.select("consulta", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(batch) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
+    place = {r[0]: i for i, r in enumerate(batch)}
+    q = unit(np.array([r[1] for r in batch], dtype=float)) if batch else np.zeros((0, 1))
+
+    def run(frames):
+        best = np.full(len(place), -np.inf)
+        for pdf in frames:
+            for ids, x in zip(pdf["quien"], pdf["vector"], strict=True):
+                at = np.array([place[i] for i in ids if i in place], dtype=int)
+                if len(at):
+                    x = np.asarray(x, dtype=float)
+                    np.maximum.at(best, at, q[at] @ (x / max(np.linalg.norm(x), 1e-300)))
+        yield pd.DataFrame({"consulta": [i for i, j in place.items() if best[j] > -np.inf], "c": best[best > -np.inf]})
+
+    kind = dict(asked.dtypes)["consulta"]
+    return nodes.mapInPandas(run, f"consulta {kind}, c double").groupBy("consulta").agg(F.max("c").alias("c"))

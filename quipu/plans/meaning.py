@@ -10,6 +10,7 @@ from quipu.functions import text as T
 from quipu.operators import distribution as D
 from quipu.operators.cut import cut
 from quipu.operators.graph import first_per
+from quipu.operators.skew import join_checked
 from quipu.operators.search import nearest
 from quipu.plans import memory, vectors
 from quipu.plans.relational import W
@@ -86,14 +87,22 @@ def _(v: Views) -> DataFrame:
     heaviest edges of a node); what falls below 0.05 goes, and a query of which too little is known gives nothing."""
     known = memory.QUERIES["se13_epistemic_evaluation"](v.spark, v.dir).where("episteme >= 0.2").select("consulta", "episteme")
     asked = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("w"))
-    rows = top(v).select("consulta", "concepto").join(known, "consulta").join(asked, "consulta").join(v.active.select("concepto", F.array_distinct(T.words("sinonimos", 3)).alias("sn")), "concepto")
-    rows = rows.join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta", "left").join(node_vectors(v), "concepto", "left")
+    best = cut(top(v).select("consulta", "concepto").join(known, "consulta"))
+    names = cut(best.select("concepto").distinct())
+    held = join_checked(v.active, names, "concepto", "left_semi").select("concepto", F.array_distinct(T.words("sinonimos", 3)).alias("sn"))
+    rows = best.join(asked, "consulta").join(held, "concepto")
+    rows = rows.join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta", "left").join(join_checked(node_vectors(v), names, "concepto", "left_semi"), "concepto", "left")
     cos = F.when(F.col("q").isNotNull() & F.col("vector").isNotNull(), F.greatest(F.lit(0.0), S.cosine(F.col("q"), F.col("vector")))).otherwise(0.0)
     own = (0.6 * cos + 0.4 * F.least(F.lit(1.0), F.size(F.array_intersect("w", "sn")) / 2.0)) * F.col("episteme")
     b0 = cut(rows.select("consulta", "concepto", F.round(own, 9).alias("s")))
-    heavy = cut(first_per(v.und, ["a"], [F.desc("peso"), F.asc("b")], 10).select("a", "b", "peso"))
-    hop = lambda b: b.join(heavy, F.col("concepto") == F.col("a")).groupBy("consulta", F.col("b").alias("concepto")).agg(F.max(F.col("s") * F.col("peso") * 0.4).alias("s"))
-    b1 = hop(b0)
+
+    def hop(b: DataFrame) -> DataFrame:
+        """Over the edges of the nodes that are there; the others are not shuffled."""
+        ends = cut(b.select(F.col("concepto").alias("a")).distinct())
+        heavy = first_per(join_checked(v.und, ends, "a", "left_semi"), ["a"], [F.desc("peso"), F.asc("b")], 10).select("a", "b", "peso")
+        return b.join(heavy, F.col("concepto") == F.col("a")).groupBy("consulta", F.col("b").alias("concepto")).agg(F.max(F.col("s") * F.col("peso") * 0.4).alias("s"))
+
+    b1 = cut(hop(b0))
     every = b0.unionByName(b1).unionByName(hop(b1.where("s >= 0.05"))).groupBy("consulta", "concepto").agg(F.max("s").alias("s")).where("s >= 0.05")
     return first_per(every.select("consulta", "concepto", F.round("s", 6).alias("score")), ["consulta"], [F.desc("score"), F.asc("concepto")], 10).select("consulta", "concepto", "score")
 

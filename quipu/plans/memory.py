@@ -15,6 +15,7 @@ from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
 from quipu.operators.overlap import most_shared
 from quipu.operators.skew import heavy_keys, join_checked, join_with_heavy
+from quipu.operators.search import greatest_cosine
 from quipu.plans.relational import W, now
 from quipu.plans.search import _IDX, _TOP, asked, hits, index, top
 from quipu.plans.vectors import _QV, _VEC, query_vectors, usable
@@ -288,10 +289,13 @@ ep AS (SELECT h.consulta, 0.7 * greatest(0.0, max(coalesce(list_cosine_similarit
 @C.add("se13_epistemic_evaluation", EPISTEME + " SELECT consulta, round(ce, 6) AS episteme, ce >= 0.55 AS sabe FROM ep", "nodes")
 def _(v: Views) -> DataFrame:
     """0.7 * the best cosine of a candidate + 0.3 * the best token coverage; known from 0.55 on."""
-    near = hits(v).join(query_vectors(v).withColumnRenamed("vector", "q"), "consulta", "left").join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto", "left")
     n = asked(v).groupBy("consulta").agg(F.count(F.lit(1)).alias("n"))
-    cos = F.when(F.col("q").isNotNull() & F.col("vector").isNotNull(), S.cosine(F.col("q"), F.col("vector"))).otherwise(0.0)
-    best = near.join(n, "consulta").groupBy("consulta").agg(F.max(cos).alias("c"), F.max(F.col("terminos") / F.col("n")).alias("k"))
+    met = hits(v)
+    # the queries of a node stay in one row with its vector, those of the batch are known to every task
+    by_node = met.groupBy("concepto").agg(F.collect_list("consulta").alias("quien")).join(usable(v.table("nodos"), "concepto").withColumnRenamed("k", "concepto"), "concepto")
+    c = greatest_cosine(by_node.select("quien", "vector"), query_vectors(v))
+    k = met.groupBy("consulta").agg(F.max("terminos").alias("k")).join(n, "consulta").select("consulta", (F.col("k") / F.col("n")).alias("k"))
+    best = k.join(c, "consulta", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     ce = 0.7 * F.greatest(F.lit(0.0), "c") + 0.3 * F.col("k")
     return best.select("consulta", F.round(ce, 6).alias("episteme"), (ce >= 0.55).alias("sabe"))
 

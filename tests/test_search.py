@@ -52,3 +52,20 @@ def test_flagship_finds_what_only_another_layer_reaches(spark, tmp_path):
     got = {(r["consulta"], r["concepto"]) for r in registry.QUERIES["se6_hybrid_search"](spark, d).collect()}
     assert {(1, "texto_igual"), (1, "vecino_latente"), (1, "solo_vector"), (2, "solo_hub"), (3, "montanas_altas")} <= got
     assert "ajeno" not in {c for _, c in got}
+
+
+def test_greatest_cosine_is_that_of_all_meetings(spark):
+    """Vectors of queries are known to the tasks; rows of queries and nodes don't carry them."""
+    import random
+
+    import numpy as np
+
+    from quipu.operators.search import greatest_cosine
+
+    r = random.Random(1)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(5)]
+    asked, nodes = {i: vec() for i in range(4)}, [([i for i in range(6) if r.random() < 0.5], vec()) for _ in range(20)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {i: max(cos(q, x) for ids, x in nodes if i in ids) for i, q in asked.items()}
+    got = greatest_cosine(spark.createDataFrame(nodes, "quien array<bigint>, vector array<double>"), spark.createDataFrame(list(asked.items()), "consulta bigint, vector array<double>"))
+    assert {k: round(c, 9) for k, c in got.collect()} == {k: round(c, 9) for k, c in want.items()}
