@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quipu.functions import score as S
+from quipu.operators.cut import cut
+from quipu.operators.skew import join_checked
 
 
 def pair_counts(rows: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame, int]:
@@ -32,6 +34,20 @@ def scored_pairs(pairs: DataFrame, df: DataFrame, n: int, least: int = 3) -> Dat
     return both.withColumn("npmi", S.npmi(F.col("n"), F.col("na"), F.col("nb"), total)).withColumn("llr", S.dunning(F.col("n"), F.col("na"), F.col("nb"), total))
 
 
+def directed_npmi(rows: DataFrame, tokens: Column, left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+    """a, b, npmi of the pairs of scored_pairs whose one word is of `left` and whose other is of `right` (each: t, distinct), as a
+    and b; other pairs are not counted."""
+    lists = rows.select(F.array_distinct(tokens).alias("t")).where(F.size("t") >= 2)
+    df = cut(lists.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least))
+    known = lambda words, c: cut(words.select(F.col("t").alias("term")).join(df, "term").select(F.col("term").alias(c), F.col("df").alias(f"n{c}")))
+    a, b = known(left, "a"), known(right, "b")
+    each = join_checked(lists.select("t", F.explode("t").alias("a")), a, "a", "inner").select("t", "a", "na")
+    both = join_checked(each.select("a", "na", F.explode("t").alias("b")).where("a <> b"), b, "b", "inner")
+    n = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    first, second = F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))
+    return n.select("a", "b", S.npmi(F.col("n"), first, second, F.lit(lists.count()).cast("bigint")).alias("npmi"))
+
+
 def ppmi_matrix(counts: DataFrame, smoothing: float = 0.75, shift: float = 0.0) -> DataFrame:
     """counts: doc, term, n. Cells of the positive PMI matrix: doc, term, ppmi > 0.
 
@@ -167,8 +183,8 @@ def near_by_hamming(rows: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     bands = radius + 1
     width = -(-bits // bands)
     one = rows.where("word is not null").groupBy("word").agg(F.min("k").alias("rep"))
-    cut = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("word", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bands))))
-    banded = one.select("word", cut.alias("x")).select("word", "x.i", "x.v")
+    bits_of = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("word", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bands))))
+    banded = one.select("word", bits_of.alias("x")).select("word", "x.i", "x.v")
     near = banded.groupBy("i", "v").applyInArrow(_within(radius, width), "p bigint, q bigint, distancia int")
     near = near.unionByName(one.select(F.col("word").alias("p"), F.col("word").alias("q"), F.lit(0).alias("distancia")))
     member = rows.where("word is not null").select("k", "word")

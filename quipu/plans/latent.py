@@ -12,11 +12,12 @@ from quipu.operators import graph as G
 from quipu.operators import sdm
 from quipu.operators.cut import cut
 from quipu.operators.graph import first_per
+from quipu.operators.skew import join_checked
 from quipu.plans import recall, search, signature, vectors
 from quipu.plans.graphs import _TRANSITIVE
 from quipu.plans.relational import W
 from quipu.plans.search import _TOP, top
-from quipu.plans.vectors import _BOTH, npmi_pairs, token_vectors, usable
+from quipu.plans.vectors import _BOTH, token_vectors, usable
 from quipu.plans.views import Catalogue, Views
 
 C = Catalogue()
@@ -34,10 +35,16 @@ def sub(name: str) -> str:
 _CAND = "WITH " + _TOP + ", gr AS (SELECT a AS x FROM und GROUP BY 1 HAVING count(*) >= 2), cand AS (SELECT consulta, concepto, bm25, rango FROM top JOIN gr ON x = concepto)"
 
 
-def candidates(v: Views) -> DataFrame:
-    """The 50 best by BM25 that have two neighbours or more."""
-    linked = G.neighbour_counts(v.und).where("n >= 2").select(F.col("a").alias("concepto"))
-    return top(v).join(linked, "concepto", "left_semi").select("consulta", "concepto", "bm25", "rango")
+class Met:
+    """What the signals of a batch of queries rest on, written once: best (the 50 best by BM25), und (the undirected edges that begin at
+    one of them; the others are not shuffled) and cand (the 50 best that have two neighbours or more)."""
+
+    def __init__(self, v: Views):
+        self.best = cut(top(v).select("consulta", "concepto", "bm25", "rango"))
+        self.und = cut(join_checked(v.und, cut(self.best.select(F.col("concepto").alias("a")).distinct()), "a", "left_semi"))
+        linked = G.neighbour_counts(self.und).where("n >= 2").select(F.col("a").alias("concepto"))
+        self.cand = cut(self.best.join(linked, "concepto", "left_semi"))
+        self.names = cut(self.cand.select("concepto").distinct())
 
 
 def jaccard_of(und: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -60,10 +67,14 @@ SELECT cand.consulta, cand.concepto, round(max(j), 6) AS red FROM cand JOIN br U
     "nodes edges und",
 )
 def _(v: Views) -> DataFrame:
+    return network(Met(v))
+
+
+def network(m: Met) -> DataFrame:
     """The greatest neighbour Jaccard of a candidate and one of the ten best hits."""
-    bridges = top(v, 10).select("consulta", F.col("concepto").alias("a"))
-    met = cut(candidates(v).select("consulta", F.col("concepto").alias("b")).join(bridges, "consulta").where("a <> b"))
-    return met.join(jaccard_of(v.und, met), ["a", "b"]).groupBy("consulta", F.col("b").alias("concepto")).agg(F.round(F.max("jaccard"), 6).alias("red"))
+    bridges = m.best.where("rango <= 10").select("consulta", F.col("concepto").alias("a"))
+    met = cut(m.cand.select("consulta", F.col("concepto").alias("b")).join(bridges, "consulta").where("a <> b"))
+    return met.join(jaccard_of(m.und, met), ["a", "b"]).groupBy("consulta", F.col("b").alias("concepto")).agg(F.round(F.max("jaccard"), 6).alias("red"))
 
 
 @C.add(
@@ -75,10 +86,15 @@ SELECT consulta, concepto, round(least(1.0, coalesce(d.p, o.p)) + 1e-9, 6) AS la
     "nodes edges und",
 )
 def _(v: Views) -> DataFrame:
+    return inferred_signal(v, Met(v))
+
+
+def inferred_signal(v: Views, m: Met) -> DataFrame:
     """The heaviest inferred edge from one of the five best hits to the candidate, otherwise from it to one of them."""
-    five = top(v, 5).select("consulta", F.col("concepto").alias("s"))
-    met = candidates(v).select("consulta", "concepto").join(five, "consulta")
-    inferred = cut(G.inferred_edges(v.edges).select("origen", "destino", "peso"))
+    five = m.best.where("rango <= 5").select("consulta", F.col("concepto").alias("s"))
+    met = cut(m.cand.select("consulta", "concepto").join(five, "consulta"))
+    origins = cut(met.select(F.explode(F.array("concepto", "s")).alias("origen")).distinct())
+    inferred = cut(G.inferred_edges(v.weights, origins=origins).select("origen", "destino", "peso"))
     best = lambda a, b, n: met.join(inferred.select(F.col("origen").alias(a), F.col("destino").alias(b), "peso"), [a, b]).groupBy("consulta", "concepto").agg(F.max("peso").alias(n))
     both = best("s", "concepto", "d").join(best("concepto", "s", "o"), ["consulta", "concepto"], "full")
     return both.select("consulta", "concepto", F.round(F.least(F.lit(1.0), F.coalesce("d", "o")) + 1e-9, 6).alias("latente"))
@@ -92,16 +108,39 @@ SELECT consulta, concepto, round(sum(s) / n + 1e-9, 4) AS pmi FROM m JOIN k USIN
     "nodes",
 )
 def _(v: Views) -> DataFrame:
-    """Mean over a query's words of the best NPMI with a word of the node's name (1 for the same word)."""
-    q = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.explode(F.array_distinct(T.words("consulta", 3))).alias("a"))
-    names = v.nodes.select("concepto", F.explode(F.array_distinct(T.words(F.translate("concepto", "_", " "), 3))).alias("b"))
-    p = npmi_pairs(v).where("npmi > 0").select("a", "b", F.round("npmi", 4).alias("s"))
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    equal = q.join(names, F.col("a") == F.col("b")).select("consulta", "concepto", "a", F.lit(1.0).alias("s"))
-    near = q.join(both, "a").join(names, "b").select("consulta", "concepto", "a", "s")
-    m = equal.unionByName(near).groupBy("consulta", "concepto", "a").agg(F.max("s").alias("s"))
+    return pmi_names(v)
+
+
+def pmi_names(v: Views, pairs: DataFrame | None = None) -> DataFrame:
+    """Mean over a query's words of the best NPMI with a word of the node's name (1 for the same word); of given pairs of consulta
+    and concepto, or of all that have one. Only pairs of a query's and a name's word are counted in the contents."""
+    q = cut(v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.explode(F.array_distinct(T.words("consulta", 3))).alias("a")))
+    nodes = v.nodes if pairs is None else join_checked(v.nodes, cut(pairs.select("concepto").distinct()), "concepto", "left_semi")
+    names = cut(nodes.select("concepto", F.explode(F.array_distinct(T.words(F.translate("concepto", "_", " "), 3))).alias("b")))
+    words = lambda rows, c: rows.select(F.col(c).alias("t")).distinct()
+    p = D.directed_npmi(v.nodes, T.words("contenido", 3), words(q, "a"), words(names, "b")).where("npmi > 0").select("a", "b", F.round("npmi", 4).alias("s"))
+    # what a word of a name is worth to each query's words; the names are joined last
+    same = words(q, "a").join(words(names, "b"), "t").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("s"))
+    worth = cut(q.join(p.unionByName(same), "a").groupBy("b").agg(F.collect_list(F.struct("consulta", "a", "s")).alias("w")))
+    if pairs is None:
+        m = _best_words(v, names, worth, q)
+    else:
+        met = pairs.select("consulta", "concepto").join(names, "concepto").join(worth.select("b", F.inline("w")), ["consulta", "b"])
+        m = met.groupBy("consulta", "concepto", "a").agg(F.max("s").alias("s")).groupBy("consulta", "concepto").agg(F.sum("s").alias("s"))
     n = q.groupBy("consulta").agg(F.count(F.lit(1)).alias("n"))
-    return m.groupBy("consulta", "concepto").agg(F.sum("s").alias("s")).join(n, "consulta").select("consulta", "concepto", F.round(F.col("s") / F.col("n") + 1e-9, 4).alias("pmi"))
+    return m.join(n, "consulta").select("consulta", "concepto", F.round(F.col("s") / F.col("n") + 1e-9, 4).alias("pmi"))
+
+
+def _best_words(v: Views, names: DataFrame, worth: DataFrame, q: DataFrame) -> DataFrame:
+    """consulta, concepto, s: the sums over a query's words of the best worth of a word of the name. Names of the same words that are
+    worth anything are one class, for which the sums are made once; rows of single words are combined before they are shuffled."""
+    held = join_checked(names, cut(worth.select("b")), "b", "left_semi")
+    of = cut(held.groupBy("concepto").agg(F.array_sort(F.collect_set("b")).alias("bs")))
+    one = cut(of.select("bs").distinct().withColumn("i", F.monotonically_increasing_id()))
+    rows = join_checked(one.select("i", F.explode("bs").alias("b")), worth, "b", "inner").select("i", F.inline("w"))
+    sums = rows.groupBy("i", "consulta", "a").agg(F.max("s").alias("s")).groupBy("i", "consulta").agg(F.sum("s").alias("s"))
+    per = sums.groupBy("i").agg(F.collect_list(F.struct("consulta", "s")).alias("u"))
+    return of.join(one, "bs").select("concepto", "i").join(per, "i").select("concepto", F.inline("u"))
 
 
 @C.add(
@@ -112,11 +151,16 @@ def _(v: Views) -> DataFrame:
     "nodes edges und dims cat",
 )
 def _(v: Views) -> DataFrame:
+    return alike_signatures(v, Met(v))
+
+
+def alike_signatures(v: Views, m: Met) -> DataFrame:
     """Weighted Jaccard of a query's signature and a candidate's."""
     k = v.table("casos_qa").select(F.col("item_id").alias("concepto"), T.words("consulta", 3).alias("palabras"), T.words("consulta", 2).alias("nombre"), F.lit(None).cast("string").alias("categoria"))
     none = v.spark.createDataFrame([], "concepto bigint, dim string, idf double"), v.spark.createDataFrame([], "a bigint, b string")
     asked = sdm.signatures(k, *none).select(F.col("concepto").alias("consulta"), F.col("b").alias("q"))
-    rows = candidates(v).select("consulta", "concepto").join(signature.parts(v, v.nodes), "concepto").join(asked, "consulta")
+    held = signature.parts(v, join_checked(v.nodes, m.names, "concepto", "left_semi"), m.und)
+    rows = m.cand.select("consulta", "concepto").join(held, "concepto").join(asked, "consulta")
     return rows.select("consulta", "concepto", sdm.weighted_jaccard(F.col("q"), F.col("b")).alias("sdm"))
 
 
@@ -130,16 +174,16 @@ LEFT JOIN {sub('sf2_signature_similarity')} s USING (consulta, concepto) LEFT JO
 
 def latent_scores(v: Views) -> DataFrame:
     """consulta, concepto, score: text, network, PMI, inferred edges, dimensions, signature, weight and context."""
-    named = lambda name: (recall.QUERIES | QUERIES)[name](v.spark, v.dir)
-    cand = candidates(v).select("consulta", "concepto")
+    m = Met(v)
+    cand = m.cand.select("consulta", "concepto")
     asked = v.table("casos_qa").select(F.col("item_id").alias("consulta"), F.array_distinct(T.words("consulta", 3)).alias("q"))
-    rows = cand.join(v.active.select("concepto", "peso", F.array_distinct(T.words("contenido", 3)).alias("c")), "concepto").join(asked, "consulta")
-    meant = top(v, 25).join(v.dims, "concepto").select("consulta", "dim").distinct()
+    rows = cand.join(join_checked(v.active, m.names, "concepto", "left_semi").select("concepto", "peso", F.array_distinct(T.words("contenido", 3)).alias("c")), "concepto").join(asked, "consulta")
+    meant = m.best.where("rango <= 25").join(v.dims, "concepto").select("consulta", "dim").distinct()
     shared = cand.join(v.dims, "concepto").join(meant, ["consulta", "dim"]).groupBy("consulta", "concepto").agg(F.count(F.lit(1)).alias("nd"))
     pair = ["consulta", "concepto"]
-    for name in ("sf2c_network_similarity", "sf2_pmi_names", "sf2e_latent_score", "sf2_signature_similarity"):
-        rows = rows.join(named(name), pair, "left")
-    rows = rows.join(shared, pair, "left").join(named("sf2f_context_bonus"), "concepto", "left")
+    for signal in (network(m), pmi_names(v, m.cand), inferred_signal(v, m), alike_signatures(v, m)):
+        rows = rows.join(signal, pair, "left")
+    rows = rows.join(shared, pair, "left").join(recall.C.of["sf2f_context_bonus"](v), "concepto", "left")
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))
     total = 0.25 * T.coverage(F.col("q"), F.col("c")) + 0.15 * or_0("red") + 0.15 * or_0("pmi") + 0.15 * or_0("latente") + 0.10 * F.least(F.lit(1.0), F.coalesce("nd", F.lit(0)) * 0.35) + 0.10 * or_0("sdm") + 0.05 * F.least(F.lit(1.0), F.col("peso") / 5) + 0.05 * or_0("premio")
     return rows.select("consulta", "concepto", F.round(F.least(F.lit(1.0), total) + 1e-9, 4).alias("score"))

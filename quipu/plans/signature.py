@@ -37,12 +37,13 @@ sg AS (SELECT concepto, list_sort(list(p)) AS b FROM sb GROUP BY 1)"""
 _ALL = "nodes edges und dims cat"
 
 
-def parts(v: Views, nodes: DataFrame) -> DataFrame:
+def parts(v: Views, nodes: DataFrame, und: DataFrame | None = None) -> DataFrame:
+    """und: the undirected edges of these nodes, if they are there already."""
     named = nodes.join(F.broadcast(v.categories), F.col("categoria") == F.col("cid"), "left")
     words = named.select("concepto", T.words("contenido", 3).alias("palabras"), T.words(F.translate("concepto", "_", " "), 2).alias("nombre"), F.col("nombre").alias("categoria"))
     n = float(v.nodes.count())
     idf = v.dims.groupBy("dim").agg(F.log(F.lit(n) / F.count(F.lit(1))).alias("idf"))
-    return sdm.signatures(words, v.dims.join(F.broadcast(idf), "dim"), v.und)
+    return sdm.signatures(words, v.dims.join(F.broadcast(idf), "dim"), v.und if und is None else und)
 
 
 @C.add("ve5_segmented_signature", f"WITH {_SG} SELECT concepto, len(b) AS bits, md5(array_to_string(b, ',')) AS huella FROM sg", _ALL)
