@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quipu.operators.cut import cut
 from quipu.operators.graph import first_per
@@ -35,7 +36,7 @@ def most_shared(asked: DataFrame, held: DataFrame, ask: str, key: str, n: int) -
     a = a.withColumn("y", every(across)).select(ask, "w", cell(F.pmod(F.xxhash64(ask), F.lit(down)), F.col("y")))
     h = h.withColumn("x", every(down)).select(key, "w", cell(F.col("x"), F.pmod(F.xxhash64(key), F.lit(across))))
     kinds = dict(asked.dtypes)
-    best = spread(a, "k", parts=2 * across * down).groupBy("k").cogroup(spread(h, "k", parts=2 * across * down).groupBy("k")).applyInArrow(_best(ask, key, n), f"{ask} {kinds[ask]}, {key} string, n bigint")
+    best = spread(a, "k", parts=2 * across * down).groupBy("k").cogroup(spread(h, "k", parts=2 * across * down).groupBy("k")).applyInArrow(_best(ask, key, n, to_arrow_type(asked.schema[ask].dataType)), f"{ask} {kinds[ask]}, {key} string, n bigint")
     return best if across == 1 else first_per(best, [ask], [F.desc("n"), F.asc(key)], n).drop("rango")
 
 
@@ -79,12 +80,14 @@ def _levels(size: np.ndarray, code: np.ndarray, width: int, n: int) -> list:
         out.append((keys, item[order[start[one] + j]], np.cumsum(kept) - kept, kept))
 
 
-def _best(ask: str, key: str, n: int):
+def _best(ask: str, key: str, n: int, kind: pa.DataType):
     def lists(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
         w = t.column(name).combine_chunks()
         return np.asarray(pc.list_value_length(w), dtype=np.int64), np.asarray(w.flatten(), dtype=np.int64)
 
     def run(a: pa.Table, h: pa.Table) -> pa.Table:
+        if not a.num_rows or not h.num_rows:
+            return pa.table({ask: a.column(ask).slice(0, 0) if a.num_rows else pa.nulls(0, kind), key: h.column(key).slice(0, 0) if h.num_rows else pa.nulls(0, pa.string()), "n": pa.nulls(0, pa.int64())})
         h = h.take(pc.sort_indices(h.column(key).combine_chunks()))
         (na, wa), (nh, wh) = lists(a, "w"), lists(h, "w")
         vocabulary, ch = np.unique(wh, return_inverse=True)
@@ -149,3 +152,52 @@ def _ranked(size, code, levels, slim, word, holder, width, total, n):
     who, what, shared = who[order], what[order], shared[order]
     rank = np.arange(len(who)) - np.searchsorted(who, who)
     return who[rank < n], what[rank < n], shared[rank < n]
+
+
+def most_alike_before(sets: DataFrame, least: float, n: int) -> DataFrame:
+    """sets: k, at (bigint, not null), c (distinct words, one at least). For each the n of greatest Jaccard, `least` at least, among
+    those of a smaller `at`, ties to the least key: x, y, s. Every pair of a common word is counted, in arrays of one count a set."""
+    words = cut(sets.select(F.explode("c").alias("t")).distinct().withColumn("i", F.monotonically_increasing_id()))
+    coded = cut(join_checked(sets.select("k", "at", F.explode("c").alias("t")), words, "t", "inner").groupBy("k", "at").agg(F.collect_list("i").alias("w")))
+    parts, total = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), coded.count()
+    across = max(1, -(-total // HELD))
+    down = max(1, -(-total // ASKING), -(-parts // across))
+    of = lambda m: F.pmod(F.xxhash64("k"), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    a = coded.select("k", "at", "w", every(across).alias("y")).withColumn("cell", of(down) * across + F.col("y"))
+    h = coded.select("k", "at", "w", every(down).alias("x")).withColumn("cell", F.col("x") * across + of(across))
+    cell = lambda rows: spread(rows.select(*[F.col(c).alias(c) for c in ("cell", "k", "at", "w")]), "cell", parts=2 * across * down).groupBy("cell")
+    best = cell(a).cogroup(cell(h)).applyInArrow(_alike(least, n), "x string, y string, s double")
+    return best if across == 1 else first_per(best, ["x"], [F.desc("s"), F.asc("y")], n).drop("rango")
+
+
+def _alike(least: float, n: int):
+    empty = pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
+
+    def run(a: pa.Table, h: pa.Table) -> pa.Table:
+        if not a.num_rows or not h.num_rows:  # a cell of one side has no columns on the other
+            return empty
+        h = h.take(pc.sort_indices(h.column("k").combine_chunks()))
+        wa, wh = a.column("w").combine_chunks(), h.column("w").combine_chunks()
+        na, nh = (np.asarray(pc.list_value_length(w), dtype=np.int64) for w in (wa, wh))
+        flat, when, mine = np.asarray(wh.flatten()), h.column("at").to_numpy(), a.column("at").to_numpy()
+        order = np.argsort(flat, kind="stable")
+        holder, flat = np.repeat(np.arange(len(nh)), nh)[order], flat[order]
+        asked = np.asarray(wa.flatten())
+        lo, hi, end = np.searchsorted(flat, asked), np.searchsorted(flat, asked, "right"), np.cumsum(na)
+        out = [[], [], []]
+        for i in range(len(na)):
+            own = [holder[p:q] for p, q in zip(lo[end[i] - na[i] : end[i]], hi[end[i] - na[i] : end[i]], strict=True)]
+            common = np.bincount(np.concatenate(own), minlength=len(nh)) * (when < mine[i])
+            s = common / (nh + na[i] - common)
+            for _ in range(n):
+                j = int(np.argmax(s))  # the first, so of the least key
+                if s[j] < least:
+                    break
+                for x, y in zip(out, (i, j, s[j]), strict=True):
+                    x.append(y)
+                s[j] = -1
+        who, what = (np.array(x, dtype=np.int64) for x in out[:2])
+        return pa.table({"x": a.column("k").take(who), "y": h.column("k").take(what), "s": np.array(out[2], dtype=float)})
+
+    return run

@@ -13,7 +13,7 @@ from quipu.functions import text as T
 from quipu.operators import graph as G
 from quipu.operators.cut import cut, shared_folder
 from quipu.operators.graph import first_per
-from quipu.operators.overlap import most_shared
+from quipu.operators.overlap import most_alike_before, most_shared
 from quipu.operators.skew import heavy_keys, join_checked, join_with_heavy
 from quipu.operators.search import greatest_cosine
 from quipu.plans.relational import W, now
@@ -332,14 +332,8 @@ SELECT concepto, viejo, round(s, 6) AS similitud FROM (SELECT *, row_number() OV
 )
 def _(v: Views) -> DataFrame:
     """Older nodes by the Jaccard of the words of their contents."""
-    t = v.nodes.select("concepto", "creado_en", F.explode(F.array_distinct(T.words("contenido", 4))).alias("t"))
-    n = t.groupBy("concepto").agg(F.count(F.lit(1)).alias("n"))
-    df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df >= 2").select("t")
-    kept = t.join(df, "t", "left_semi")
-    x, y = kept, kept.select("t", F.col("concepto").alias("viejo"), F.col("creado_en").alias("antes"))
-    j = x.join(y, "t").where("antes < creado_en").groupBy("concepto", "viejo").agg(F.count(F.lit(1)).alias("c"))
-    s = j.join(n.withColumnRenamed("n", "na"), "concepto").join(n.select(F.col("concepto").alias("viejo"), F.col("n").alias("nb")), "viejo").withColumn("s", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where("s >= 0.05")
-    return first_per(s, ["concepto"], [F.desc("s"), F.asc("viejo")], 3).select("concepto", "viejo", F.round("s", 6).alias("similitud"))
+    t = v.nodes.where("creado_en is not null").select(F.col("concepto").alias("k"), F.expr("unix_micros(cast(creado_en as timestamp))").alias("at"), F.array_distinct(T.words("contenido", 4)).alias("c"))
+    return most_alike_before(t.where("size(c) > 0"), 0.05, 3).select(F.col("x").alias("concepto"), F.col("y").alias("viejo"), F.round("s", 6).alias("similitud"))
 
 
 # ---- aggregates, windows, lifecycle

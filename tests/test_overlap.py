@@ -38,3 +38,23 @@ def _coded(held):
     for r in held.collect():
         sets.setdefault(r["concepto"], []).append(codes[r["t"]])
     return np.array([len(sets[k]) for k in sorted(sets)]), np.array([c for k in sorted(sets) for c in sorted(sets[k])]), len(codes)
+
+
+def test_a_side_without_sets_gives_nothing(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id bigint, t string")
+    held = spark.createDataFrame([("n", "x"), ("n", "y")], "concepto string, t string")
+    assert overlap.most_shared(one, held, "doc_id", "concepto", 10).count() == 0
+    assert overlap.most_shared(one.limit(0), held, "doc_id", "concepto", 10).count() == 0
+
+
+@pytest.mark.parametrize("held_at_most", [10_000, 30])
+def test_most_alike_before_is_what_brute_force_gives(spark, monkeypatch, held_at_most):
+    monkeypatch.setattr(overlap, "HELD", held_at_most)
+    r = random.Random(8)
+    sets = [(f"k{i:02}", r.randrange(40), sorted({"comun", *r.sample("abcdefghij", r.randint(0, 6))})) for i in range(80)]
+    want = []
+    for k, at, c in sets:
+        s = sorted((-len({*c} & {*d}) / len({*c} | {*d}), q) for q, when, d in sets if when < at)
+        want += [(k, q, -x) for x, q in s[:3] if -x >= 0.3]
+    got = overlap.most_alike_before(spark.createDataFrame(sets, "k string, at bigint, c array<string>"), 0.3, 3)
+    assert rows(got) == sorted(want, key=repr)
