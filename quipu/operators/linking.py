@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
+from quipu.operators.overlap import sharing
 from quipu.operators.similar import jaccard_join
 from quipu.operators.unpack import unpack
 
@@ -41,10 +42,10 @@ def link_by_tokens(nodes: DataFrame, least: float = 0.8) -> DataFrame:
     return pairs.select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("jaccard").alias("peso"), F.lit("co_ocurrencia").alias("tipo"))
 
 
-def link_by_name(nodes: DataFrame, least: float = 0.3) -> DataFrame:
-    """co_nombre: names that share that part of the smaller name's words of four or more characters."""
+def link_by_name(nodes: DataFrame, least: float = 0.3, digits: int | None = None) -> DataFrame:
+    """co_nombre: names that share that part of the smaller name's words of four or more characters, rounded to `digits`."""
     parts = F.array_distinct(F.filter(F.split("concepto", "_"), lambda x: F.length(x) >= 4))
-    return _shared(nodes.select(F.col("concepto").alias("k"), parts.alias("s")), least).select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("s").alias("peso"))
+    return sharing(nodes.select(F.col("concepto").alias("k"), parts.alias("s")), least, digits).select(F.col("a").alias("origen"), F.col("b").alias("destino"), F.col("s").alias("peso"))
 
 
 def link_by_synonyms(nodes: DataFrame, least: float = 0.4) -> DataFrame:

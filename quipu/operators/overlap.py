@@ -1,7 +1,9 @@
-"""The sets that share most elements with each of many others."""
+"""The sets that share most elements with each of many others, and all that share enough."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,9 @@ from quipu.operators.skew import join_checked, spread
 #: Held and asking sets of a task, at most; sets of more words than WIDE are met word by word; combinations spelled out at a time.
 HELD, ASKING, WIDE, AT_ONCE = 200_000, 50_000, 8, 4_000_000
 
+#: Sets on either side of a cell where all pairs come out: their keys fit the dictionary (1 MB) of a Parquet column. Pairs of a batch.
+BLOCK, BATCH = 24_000, 250_000
+
 
 def most_shared(asked: DataFrame, held: DataFrame, ask: str, key: str, n: int) -> DataFrame:
     """asked: ask, t; held: key, t. Of every asking set the n held sets that share most words, two at least, ties to the least key:
@@ -201,3 +206,84 @@ def _alike(least: float, n: int):
         return pa.table({"x": a.column("k").take(who), "y": h.column("k").take(what), "s": np.array(out[2], dtype=float)})
 
     return run
+
+
+def sharing(sets: DataFrame, least: float, digits: int | None = None) -> DataFrame:
+    """sets: k (string), s (distinct strings). Pairs a < b of keys whose sets share `least` or more of the smaller one: a, b, s (rounded
+    half up to `digits`).
+
+    Pairs are neither shuffled nor held: blocks of sets meet in cells, any two sets in one of them, and a pair leaves it as it is found.
+    """
+    kept = cut(sets.where("k is not null and size(s) > 0").select("k", "s"))
+    parts, total = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count()
+    across = max(1, -(-total // BLOCK))
+    down = max(across, -(-parts // across))
+    of = lambda m: F.pmod(F.xxhash64("k"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    a = kept.select("k", "s", F.lit(True).alias("asks"), every(across).alias("y")).withColumn("cell", of(down) * across + F.col("y")).drop("y")
+    h = kept.select("k", "s", F.lit(False).alias("asks"), every(down).alias("x")).withColumn("cell", F.col("x") * across + of(across)).drop("x")
+    return a.unionByName(h).repartitionById(across * down, F.col("cell")).mapInArrow(_cells(least, digits), "a string, b string, s double")
+
+
+def _cells(least: float, digits: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (read := list(batches)):
+            return
+        rows = pa.Table.from_batches(read)
+        for cell in pc.unique(rows.column("cell")):
+            here = rows.filter(pc.equal(rows.column("cell"), cell))
+            a, h = here.filter(here.column("asks")), here.filter(pc.invert(here.column("asks")))
+            if a.num_rows and h.num_rows:
+                yield from _sharing(a, h, least, digits)
+
+    return run
+
+
+def _sharing(a: pa.Table, h: pa.Table, least: float, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """Of each asking set the held ones of greater keys that share enough. Those of its commonest word are taken as they lie; only what
+    its other words add to them is sorted."""
+    h = h.take(pc.sort_indices(h.column("k").combine_chunks()))
+    ka, kh = a.column("k").combine_chunks(), h.column("k").combine_chunks()
+    wa, wh = a.column("s").combine_chunks(), h.column("s").combine_chunks()
+    na, nh = (np.asarray(pc.list_value_length(w), dtype=np.int64) for w in (wa, wh))
+    rank = np.asarray(pc.rank(pa.concat_arrays([kh, ka]), tiebreaker="dense"))
+    after = np.searchsorted(rank[: len(nh)], rank[len(nh) :], "right")
+    coded = wh.flatten().dictionary_encode()
+    code, own = np.asarray(coded.indices, dtype=np.int64), np.repeat(np.arange(len(na)), na)
+    asked = np.asarray(pc.fill_null(pc.index_in(wa.flatten(), value_set=coded.dictionary), -1), dtype=np.int64)
+    own, asked, width = own[asked >= 0], asked[asked >= 0], len(nh)
+    holders = np.sort(code * width + np.repeat(np.arange(width), nh))  # by word, then by key
+    holder = holders % width
+    lo = np.searchsorted(holders, asked * width + after[own])
+    meets = np.searchsorted(holders, (asked + 1) * width) - lo
+    order = np.lexsort((-meets, own))
+    own, asked, lo, meets = own[order], asked[order], lo[order], meets[order]
+    top = np.append(True, own[1:] != own[:-1])[: len(own)]
+    base, base_lo, base_n = (np.zeros(len(na), dtype=np.int64) for _ in range(3))
+    base[own[top]], base_lo[own[top]], base_n[own[top]] = asked[top], lo[top], meets[top]
+    # asking sets of one commonest word follow each other, so the same held keys come again and again
+    place = np.empty(len(na), dtype=np.int64)
+    place[turn := np.lexsort((after, base))] = np.arange(len(na))
+    rest = np.flatnonzero(~top)
+    rest = rest[np.argsort(place[own[rest]], kind="stable")]
+    rest_place = place[own[rest]]
+    each = np.bincount(place[own], weights=meets, minlength=len(na)).astype(np.int64)
+    for x0, x1 in _slices(each, BATCH):
+        xs = turn[x0:x1]
+        x, step = _after(base_n[xs])
+        y, n = holder[base_lo[xs][x] + step], np.ones(len(x), dtype=np.int64)
+        more = rest[np.searchsorted(rest_place, x0) : np.searchsorted(rest_place, x1)]
+        which, step = _after(meets[more])
+        pair, times = np.unique((place[own[more]] - x0)[which] * width + holder[lo[more][which] + step], return_counts=True)
+        px, py = pair // width, pair % width
+        number = base[xs][px] * width + py
+        at = np.minimum(np.searchsorted(holders, number), len(holders) - 1)
+        there = holders[at] == number
+        start = np.cumsum(base_n[xs]) - base_n[xs]
+        n[(start[px] + at - base_lo[xs][px])[there]] += times[there]
+        x, y, n = np.append(x, px[~there]), np.append(y, py[~there]), np.append(n, times[~there])
+        share = n / np.minimum(na[xs][x], nh[y])
+        good = share >= least
+        if good.any():
+            shown = share[good] if digits is None else np.floor(share[good] * 10**digits + 0.5) / 10**digits
+            yield pa.RecordBatch.from_arrays([ka.take(pa.array(xs[x[good]])), kh.take(pa.array(y[good])), pa.array(shown)], ["a", "b", "s"])

@@ -228,7 +228,7 @@ GROUP BY 1, 2, ta.w, tb.w HAVING count(*) / CAST(least(len(ta.w), len(tb.w)) AS
     "nodes",
 )
 def _(v: Views) -> DataFrame:
-    return link_by_name(v.active, 0.3).withColumn("peso", F.round("peso", 6))
+    return link_by_name(v.active, 0.3, 6)
 
 
 @C.add("gr1_link_by_synonyms")
