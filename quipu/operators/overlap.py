@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,14 +218,22 @@ def sharing(sets: DataFrame, least: float, digits: int | None = None) -> DataFra
     parts, total = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count()
     across = max(1, -(-total // BLOCK))
     down = max(across, -(-parts // across))
-    of = lambda m: F.pmod(F.xxhash64("k"), F.lit(m)).cast("int")
+    return in_cells(kept, "k", across, down).mapInArrow(over_cells(lambda a, h: _sharing(a, h, least, digits)), "a string, b string, s double")
+
+
+def in_cells(rows: DataFrame, key: str, across: int, down: int) -> DataFrame:
+    """rows in down * across cells, one a partition: each row asks in the cells of one line and is held in those of one column, so any
+    two meet in one cell, either way round."""
+    of = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    a = kept.select("k", "s", F.lit(True).alias("asks"), every(across).alias("y")).withColumn("cell", of(down) * across + F.col("y")).drop("y")
-    h = kept.select("k", "s", F.lit(False).alias("asks"), every(down).alias("x")).withColumn("cell", F.col("x") * across + of(across)).drop("x")
-    return a.unionByName(h).repartitionById(across * down, F.col("cell")).mapInArrow(_cells(least, digits), "a string, b string, s double")
+    a = rows.select("*", F.lit(True).alias("asks"), every(across).alias("at")).withColumn("cell", of(down) * across + F.col("at"))
+    h = rows.select("*", F.lit(False).alias("asks"), every(down).alias("at")).withColumn("cell", F.col("at") * across + of(across))
+    return a.unionByName(h).drop("at").repartitionById(across * down, F.col("cell"))
+
 
+def over_cells(meet: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]):
+    """meet: gets the asking and the held rows of a cell."""
 
-def _cells(least: float, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (read := list(batches)):
             return
@@ -234,7 +242,7 @@ def _cells(least: float, digits: int | None):
             here = rows.filter(pc.equal(rows.column("cell"), cell))
             a, h = here.filter(here.column("asks")), here.filter(pc.invert(here.column("asks")))
             if a.num_rows and h.num_rows:
-                yield from _sharing(a, h, least, digits)
+                yield from meet(a, h)
 
     return run
 
