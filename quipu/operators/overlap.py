@@ -214,25 +214,44 @@ def sharing(sets: DataFrame, least: float, digits: int | None = None) -> DataFra
 
     Pairs are neither shuffled nor held: blocks of sets meet in cells, any two sets in one of them, and a pair leaves it as it is found.
     """
-    kept = cut(sets.where("k is not null and size(s) > 0").select("k", "s"))
+    kept = cut(sets.where("k is not null and size(s) > 0").select("k", F.col("s").alias("c")).withColumn("i", F.monotonically_increasing_id()))
     parts, total = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count()
     across = max(1, -(-total // BLOCK))
     down = max(across, -(-parts // across))
-    return in_cells(kept, "k", across, down).mapInArrow(over_cells(lambda a, h: _sharing(a, h, least, digits)), "a string, b string, s double")
+    return in_cells(kept, across, down).mapInArrow(over_cells(lambda a, h: _sharing(a, h, least, digits)), "a string, b string, s double")
 
 
-def in_cells(rows: DataFrame, key: str, across: int, down: int) -> DataFrame:
-    """rows in down * across cells, one a partition: each row asks in the cells of one line and is held in those of one column, so any
-    two meet in one cell, either way round."""
-    of = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    a = rows.select("*", F.lit(True).alias("asks"), every(across).alias("at")).withColumn("cell", of(down) * across + F.col("at"))
-    h = rows.select("*", F.lit(False).alias("asks"), every(down).alias("at")).withColumn("cell", F.col("at") * across + of(across))
-    return a.unionByName(h).drop("at").repartitionById(across * down, F.col("cell"))
+def in_cells(sets: DataFrame, across: int, down: int) -> DataFrame:
+    """sets: i (bigint), c (strings), perhaps more. They lie compressed in down * across cells, one a partition: each set asks in the cells
+    of one line and is held in those of one column, so any two meet in one cell, either way round."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (read := list(batches)):
+            return
+        rows = pa.Table.from_batches(read)
+        for asks, groups in ((True, down), (False, across)):
+            for g in range(groups):
+                here = rows.filter(pa.array(rows.column("i").to_numpy() % groups == g))
+                if here.num_rows:
+                    c = here.column("c").combine_chunks()
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.list_value_length(c))), pa.int32()), c.flatten().dictionary_encode())
+                    table, sink = here.drop_columns("c").append_column("c", lists), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                        to.write_table(table.combine_chunks())
+                    cells = [g * across + k for k in range(across)] if asks else [k * across + g for k in range(down)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([asks] * len(cells)), pa.array([sink.getvalue().to_pybytes()] * len(cells))], ["cell", "asks", "sets"])
+
+    return sets.mapInArrow(pack, "cell int, asks boolean, sets binary").repartitionById(across * down, F.col("cell"))
 
 
 def over_cells(meet: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]):
-    """meet: gets the asking and the held rows of a cell."""
+    """meet: gets the asking and the held sets of a cell."""
+
+    def unpacked(rows: pa.Table) -> pa.Table:
+        batches = [b for x in rows.column("sets") for b in pa.ipc.open_stream(x.as_buffer())]
+        lists = [b.column("c") for b in batches]
+        c = pa.chunked_array([pa.ListArray.from_arrays(x.offsets, x.values.dictionary_decode()) for x in lists])
+        return pa.table({n: pa.chunked_array([b.column(n) for b in batches]) for n in batches[0].schema.names if n != "c"} | {"c": c})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (read := list(batches)):
@@ -242,7 +261,7 @@ def over_cells(meet: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]):
             here = rows.filter(pc.equal(rows.column("cell"), cell))
             a, h = here.filter(here.column("asks")), here.filter(pc.invert(here.column("asks")))
             if a.num_rows and h.num_rows:
-                yield from meet(a, h)
+                yield from meet(unpacked(a), unpacked(h))
 
     return run
 
@@ -252,7 +271,7 @@ def _sharing(a: pa.Table, h: pa.Table, least: float, digits: int | None) -> Iter
     its other words add to them is sorted."""
     h = h.take(pc.sort_indices(h.column("k").combine_chunks()))
     ka, kh = a.column("k").combine_chunks(), h.column("k").combine_chunks()
-    wa, wh = a.column("s").combine_chunks(), h.column("s").combine_chunks()
+    wa, wh = a.column("c").combine_chunks(), h.column("c").combine_chunks()
     na, nh = (np.asarray(pc.list_value_length(w), dtype=np.int64) for w in (wa, wh))
     rank = np.asarray(pc.rank(pa.concat_arrays([kh, ka]), tiebreaker="dense"))
     after = np.searchsorted(rank[: len(nh)], rank[len(nh) :], "right")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quipu.operators.cut import cut
-from quipu.operators.overlap import _after, _slices, over_cells
+from quipu.operators.overlap import _after, _slices, in_cells, over_cells
 from quipu.operators.skew import join_checked
 
 #: A set's elements are marked in MARKS words of 64 bits; sets of one element that meet in a task, at most AT_ONCE on one side.
@@ -81,36 +81,7 @@ def alike(sets: DataFrame, least: float) -> DataFrame:
     parts, blocks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // BLOCK)
     across = max(1, blocks, int(parts**0.5))
     down = max(blocks, -(-parts // across))
-    packed = sets.select("i", "c").mapInArrow(_packed(across, down), "cell int, asks boolean, sets binary").repartitionById(across * down, F.col("cell"))
-    return packed.mapInArrow(over_cells(lambda a, h: _alike(_unpacked(a), _unpacked(h), least)), "x bigint, y bigint, jaccard double")
-
-
-def _packed(across: int, down: int):
-    """Compressed sets for the cells of down lines and across columns, where any two sets meet, either way round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (read := list(batches)):
-            return
-        rows = pa.Table.from_batches(read)
-        for asks, groups in ((True, down), (False, across)):
-            for g in range(groups):
-                here = rows.filter(pa.array(rows.column("i").to_numpy() % groups == g))
-                if here.num_rows:
-                    c = here.column("c").combine_chunks()
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pc.list_value_length(c))), pa.int32()), c.flatten().dictionary_encode())
-                    table, sink = pa.table({"i": here.column("i").combine_chunks(), "c": lists}), pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-                        to.write_table(table)
-                    cells = [g * across + k for k in range(across)] if asks else [k * across + g for k in range(down)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([asks] * len(cells)), pa.array([sink.getvalue().to_pybytes()] * len(cells))], ["cell", "asks", "sets"])
-
-    return run
-
-
-def _unpacked(rows: pa.Table) -> pa.Table:
-    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("sets")]
-    lists = [c for t in parts for c in t.column("c").chunks]
-    return pa.table({"i": pa.chunked_array([c for t in parts for c in t.column("i").chunks]), "c": pa.chunked_array([pa.ListArray.from_arrays(c.offsets, c.values.dictionary_decode()) for c in lists])})
+    return in_cells(sets.select("i", "c"), across, down).mapInArrow(over_cells(lambda a, h: _alike(a, h, least)), "x bigint, y bigint, jaccard double")
 
 
 def _folds(own: np.ndarray, code: np.ndarray, sets: int, n: int) -> list[np.ndarray]:
